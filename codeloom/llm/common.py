@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import mix
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,3 +42,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+class IdBitmap:
+    """A bitmap over hashed document ids that tells tasks which documents a later join needs.
+
+    It only spares rows the shuffle: it lets others through by chance, never holds one
+    back, and beyond ``most`` ids there is none and every row is shuffled.
+    """
+
+    BITS = 1 << 25
+
+    def __init__(self, ids: DataFrame, column: str = "doc_id", most: int = 2_000_000):
+        self.sent = None
+        if ids.count() <= most:
+            bits = np.zeros(self.BITS // 8, np.uint8)
+            k = self._key(ids.select(column).toPandas()[column].to_numpy(np.int64))
+            np.bitwise_or.at(bits, k >> 3, np.left_shift(1, k & 7).astype(np.uint8))
+            self.sent = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @classmethod
+    def _key(cls, ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.view(np.uint64)) & np.uint64(cls.BITS - 1)).astype(np.int64)
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        if self.sent is None:
+            return np.ones(len(ids), bool)
+        k = self._key(np.ascontiguousarray(ids))
+        return (self.sent.value[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)

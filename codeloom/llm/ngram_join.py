@@ -32,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, docs_only, parts, table
+from .common import IdBitmap, cut, docs_only, parts, table
 from .components import components
-from .kernels import doc_sets, fold, mix, slice_batches, slices, words
+from .kernels import doc_sets, fold, slice_batches, slices, words
 
 N = 3
 THRESHOLD = 0.5
 SKETCH, OCCURRENCES, SKIP = 24, 8, 3
-#: Ids of sets that are searched are sent to the tasks as a bitmap only up to this number; beyond, all sets are shuffled and joined.
-BITMAP_SETS, BITMAP_BITS = 2_000_000, 1 << 25
 
 
 def sketches(df: DataFrame, n: int = N, k: int = SKETCH) -> DataFrame:
@@ -136,32 +134,19 @@ def _long_lists(cum: np.ndarray, length: np.ndarray, t: int) -> int:
     return best
 
 
-def _key(set_id: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return (mix(set_id.view(np.uint64) ^ mix(doc_id.view(np.uint64))) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-
-
 def set_pairs(df: DataFrame, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b, overlap, jaccard) of different joining sets; docs is sketches(df), written."""
     spark = df.sparkSession
     sets = docs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.first("sketch").alias("sketch"))
     linked = components(candidates(sets))
     chosen = cut(linked.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node"))
-    bits = None
-    if chosen.count() <= BITMAP_SETS:
-        ids = chosen.select("node", "doc_id").toPandas()
-        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-        key = _key(ids["node"].to_numpy(np.int64), ids["doc_id"].to_numpy(np.int64))
-        np.bitwise_or.at(bits, key >> 3, np.left_shift(1, key & 7).astype(np.uint8))
-        bits = spark.sparkContext.broadcast(bits)
+    needed = IdBitmap(chosen)
 
     def full(batches):
         for b in slice_batches(batches):
             values, first = doc_sets(words(b.column("text")), n)
             sid = fold(values, first).view(np.int64)
-            keep = np.diff(first) > 0
-            if bits is not None:
-                k = _key(sid, b.column("doc_id").to_numpy())
-                keep &= (bits.value[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+            keep = (np.diff(first) > 0) & needed.maybe(b.column("doc_id").to_numpy())
             at = np.flatnonzero(keep)
             blob = pa.array([values[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(sid[at]), blob], ["doc_id", "node", "grams"])

@@ -5,8 +5,9 @@ from .ngram_join import op2_ngram_join
 from .packing import op8_best_fit_bins
 from .quality_classifier import op7_quality_discriminant
 from .quality_rules import op1_compression_bands
+from .repeats import op6_repeated_passages
 from .secret_scan import op5_linked_secrets
 from .toxicity import op3_toxic_windows
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_ngram_join, op3_toxic_windows, op5_linked_secrets, op7_quality_discriminant, op8_best_fit_bins, op9_template_leaks)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_ngram_join, op3_toxic_windows, op5_linked_secrets, op6_repeated_passages, op7_quality_discriminant, op8_best_fit_bins, op9_template_leaks)}
 ORACLES: dict[str, str] = {}
