@@ -1,4 +1,10 @@
 """Names, queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import code_queries, file_queries, graph_queries, registry
+
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "code_queries", "file_queries", "graph_queries"]

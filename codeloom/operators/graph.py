@@ -102,7 +102,7 @@ class CodeGraph:
         rows = range(len(ids)) if rows is None else rows
         kind = self.nodes.schema["id"].dataType.simpleString()
         data = [(ids[k], *(c[k].item() if hasattr(c[k], "item") else c[k] for c in columns.values())) for k in rows]
-        return self.spark.createDataFrame(data, f"id {kind}, {kinds}")
+        return self.spark.createDataFrame(data, f"id {kind}" + (f", {kinds}" if kinds else ""))
 
     def pagerank(self, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-6) -> DataFrame:
         """id, score; the mass of nodes without edges out is spread over all; scores add up to 1."""
