@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import docs_only, table
 from .kernels import _WORD, flat, slice_batches, span_hash, spans
-from .training import labelled
+from .training import labelled_rows
 
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 2000
@@ -126,11 +126,19 @@ class Discriminant:
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Discriminant | None:
-    rows = labelled(documents, labels, "quality", per_class)
-    if not rows:
+    """The discriminant of a labelled sample; its texts are measured where they lie and only their statistics come to the driver."""
+
+    def run(batches):
+        for b in slice_batches(batches):
+            x, ok = statistics(b.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), lists], ["doc_id", "label", "x"]).filter(pa.array(ok))
+
+    got = labelled_rows(documents, labels, "quality", per_class).mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+    if not got.num_rows:
         return None
-    x, ok = statistics(pa.array([r[1] for r in rows], pa.string()))
-    return Discriminant.fit(x[ok], np.array([r[2] for r in rows])[ok])
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+    return Discriminant.fit(x, got.column("label").to_numpy())
 
 
 def _scores(model: Discriminant | None, texts: pa.Array) -> np.ndarray:
