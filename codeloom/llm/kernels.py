@@ -125,7 +125,7 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     size = np.diff(w.first)
     h = np.zeros(m, np.uint64)
-    for k in range(n):
+    for k in range(min(n, m)):
         h[: m - k] = h[: m - k] * _NGRAM + w.hash[k:]
     at = np.arange(m)
     left = np.repeat(w.first[1:], size) - at

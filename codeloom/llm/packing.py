@@ -75,6 +75,8 @@ def packed(df: DataFrame, capacity: int = CAPACITY, chars: int = CHARS, shard: i
     shards = max(1, -(-df.count() // shard))
 
     def run(key, t):
+        # in one order, however the rows arrived
+        t = t.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
         doc = t.column("doc_id").combine_chunks()
         ids, null = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False)
         n = t.column("tokens").to_numpy()

@@ -28,16 +28,17 @@ BANDS = (
     (0, None, None),
     (64, 0.40, None),
     (128, 0.36, 1.15),
-    (256, 0.32, 0.95),
-    (512, 0.28, 0.88),
-    (1024, 0.22, 0.82),
-    (4096, 0.20, 0.78),
-    (16384, 0.18, 0.75),
+    (256, 0.32, 0.90),
+    (512, 0.28, 0.82),
+    (1024, 0.22, 0.75),
+    (4096, 0.20, 0.72),
+    (16384, 0.18, 0.70),
 )
 CHUNK_BYTES = 4096
 #: A last chunk shorter than this is not measured alone; it still counts in the whole.
 LEAST_CHUNK = 1024
-CHUNK_LIMITS = (0.15, 0.85)
+#: Random base-64 text is at 0.76, language under 0.6.
+CHUNK_LIMITS = (0.15, 0.72)
 #: A text is rejected when more than this share of its chunks is outside the limits.
 BAD_CHUNKS = 1 / 3
 LEVEL = 3

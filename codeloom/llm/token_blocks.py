@@ -143,7 +143,7 @@ def encode(ids: np.ndarray, t: Table, lanes: int = LANES, checkpoint: int = CHEC
     out: list[np.ndarray] = []
     sizes = np.zeros(steps + 1, np.int64)
     states = np.zeros((-(-steps // checkpoint), lanes), np.uint64)
-    if len(ids) and not t.freq[ids].all():
+    if len(ids) and (int(ids.max()) >= len(t.freq) or not t.freq[ids].all()):
         raise ValueError("a token that the table lacks")
     for k in range(steps - 1, -1, -1):
         row = grid[k]
