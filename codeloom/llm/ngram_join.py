@@ -7,7 +7,9 @@ least THRESHOLD.  The search has two levels, both T-occurrence problems:
    Lists of one document fall out; of the others a document's SKIP longest are left
    out (DivideSkip's long lists) and the rest merged, and a pair that meets on T - SKIP
    of them is a candidate.  Lists of frequent passages are long, so they are skipped,
-   not multiplied out.  This level is approximate: a pair at the threshold is missed
+   not multiplied out; lists of groups of near copies are not multiplied out either,
+   as their sets are first connected through the list's heaviest one.  This level is
+   approximate: a pair at the threshold is missed
    with a probability of about 3 %, one at 0.6 of 0.2 %;
 2. among the documents that the candidates connect: inverted lists of their full
    sets.  For each query the short lists are merged, candidates reaching T - L go on,
@@ -69,19 +71,46 @@ def _skip(size):
     return F.least(F.lit(SKIP), _need(size) - 1)
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of set ids that meet on enough merged lists; sets(set_id, sketch)."""
+def _merged_lists(sets: DataFrame) -> DataFrame:
+    """set_id, k, gram and weight of the list entries that are merged: all but those of one set and each set's longest lists.
+
+    The weight of a set is the length of all its lists, so that in a group of near
+    copies the most typical one has the greatest.
+    """
     entry = sets.select("set_id", F.size("sketch").alias("k"), F.explode("sketch").alias("gram"))
     listed = entry.withColumn("long", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("long > 1")
-    by_length = Window.partitionBy("set_id").orderBy(F.desc("long"), F.desc("gram"))
-    merged = listed.withColumn("place", F.row_number().over(by_length)).filter(F.col("place") > _skip(F.col("k"))).select("set_id", "k", "gram")
-    lists = merged.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("set_id", "k"))).alias("list")).filter(F.size("list") > 1)
-    left = lists.select("list", F.posexplode("list").alias("i", "a"))
-    pair = left.select("a", F.explode(F.slice("list", F.col("i") + 2, F.size("list"))).alias("b"))
+    own = Window.partitionBy("set_id")
+    placed = listed.withColumns({"place": F.row_number().over(own.orderBy(F.desc("long"), F.desc("gram"))), "weight": F.sum("long").over(own)})
+    return placed.filter(F.col("place") > _skip(F.col("k"))).select("set_id", "k", "gram", "weight")
+
+
+def _meeting(pair: DataFrame) -> DataFrame:
+    """a, b of the pairs of structs (set_id, k) that meet often enough."""
     met = pair.groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), F.least("a.k", "b.k").alias("low"), F.greatest("a.k", "b.k").alias("high")).agg(F.count(F.lit(1)).alias("met"))
     return met.filter(F.col("met") >= _need(F.col("low")) - _skip(F.col("high"))).select("a", "b")
 
 
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets that candidate pairs connect; sets(set_id, sketch).
+
+    Every candidate pair counts, but those that only confirm a connection are never
+    formed: first each list's sets meet its heaviest one alone, which takes as many
+    rows as the list has and connects most of a group of near copies; then the pairs
+    across the components found so far are formed in full.
+    """
+    entries = cut(_merged_lists(sets))
+    top = entries.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "k")).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "b")
+    star = _meeting(entries.join(top, "gram").filter("set_id <> b.set_id").select(F.struct("set_id", "k").alias("a"), F.struct("b.set_id", "b.k").alias("b")))
+    star = cut(star)
+    known = components(star)
+    own = entries.join(known.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("gram", F.coalesce("component", "set_id").alias("component"), F.struct("set_id", "k").alias("s"))
+    groups = own.groupBy("gram", "component").agg(F.collect_list("s").alias("own")).groupBy("gram").agg(F.collect_list("own").alias("groups")).filter(F.size("groups") > 1)
+    left = groups.select("groups", F.posexplode("groups").alias("i", "own")).select("own", F.slice("groups", F.col("i") + 2, F.size("groups")).alias("rest")).filter(F.size("rest") > 0)
+    cross = left.select(F.explode("own").alias("a"), F.flatten("rest").alias("rest")).select("a", F.explode("rest").alias("b"))
+    across = _meeting(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return components(star.unionByName(across))
+
+
 def divide_skip(values: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each set, as a query, the earlier sets with a Jaccard coefficient of at least threshold.
 
@@ -134,12 +163,13 @@ def _long_lists(cum: np.ndarray, length: np.ndarray, t: int) -> int:
     return best
 
 
-def set_pairs(df: DataFrame, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, overlap, jaccard) of different joining sets; docs is sketches(df), written."""
+def _blocks(df: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """block, node, docs and grams of every set that has candidates; whole components lie in one block.  docs is sketches(df), written."""
     spark = df.sparkSession
-    sets = docs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.first("sketch").alias("sketch"))
-    linked = components(candidates(sets))
-    chosen = cut(linked.join(sets.select(F.col("set_id").alias("node"), "doc_id"), "node"))
+    sets = docs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    linked = linked_sets(sets).withColumnRenamed("node", "set_id")
+    chosen = docs.join(linked, "set_id").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.array_distinct(F.collect_list("doc_id")).alias("docs"), F.first("component").alias("component"))
+    chosen = cut(chosen)
     needed = IdBitmap(chosen)
 
     def full(batches):
@@ -152,39 +182,68 @@ def set_pairs(df: DataFrame, docs: DataFrame, n: int = N, threshold: float = THR
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(sid[at]), blob], ["doc_id", "node", "grams"])
 
     blobs = docs_only(df).filter("doc_id is not null").mapInArrow(full, "doc_id long, node long, grams binary")
-    blocks = blobs.join(chosen, ["node", "doc_id"]).select("node", F.pmod(F.xxhash64("component"), F.lit(4 * parts(spark))).alias("block"), "grams")
+    return blobs.join(chosen, ["node", "doc_id"]).select("node", F.pmod(F.xxhash64("component"), F.lit(4 * parts(spark))).alias("block"), "docs", "grams")
 
-    def search(t):
-        ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
-        grams = [np.frombuffer(t.column("grams")[int(i)].as_py(), np.uint64) for i in at]
-        order = np.argsort([len(g) for g in grams], kind="stable")
-        grams, ids = [grams[i] for i in order], ids[order]
-        first = np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int64)
-        found = divide_skip(np.concatenate(grams), first, threshold)
-        q, r, c = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-        both = np.diff(first)[q] + np.diff(first)[r]
-        return pa.table({"a": pa.array(ids[q]), "b": pa.array(ids[r]), "overlap": pa.array(c, pa.int32()), "jaccard": pa.array(c / np.maximum(both - c, 1))})
 
-    return blocks.groupBy("block").applyInArrow(search, "a long, b long, overlap int, jaccard double")
+def _search(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's sets by size, their rows and sizes, and the pairs found among them."""
+    ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
+    column = t.column("grams").combine_chunks()
+    grams = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
+    order = np.argsort([len(g) for g in grams], kind="stable")
+    size = np.array([len(grams[i]) for i in order])
+    found = divide_skip(np.concatenate([grams[i] for i in order]), np.r_[0, np.cumsum(size)].astype(np.int64), threshold)
+    pairs = np.column_stack([np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)])
+    return ids[order], at[order], size, pairs
 
 
 def join(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs doc_a < doc_b of documents that join, with overlap and Jaccard coefficient."""
     docs = cut(sketches(df, n))
-    pairs = set_pairs(df, docs, n, threshold)
-    own = docs.select("set_id", "doc_id", "size").distinct()
-    a, b = (own.select(F.col("set_id").alias(s), F.col("doc_id").alias(f"doc_{s}")) for s in "ab")
-    near = pairs.join(a, "a").join(b, "b").select("doc_a", "doc_b", "overlap", "jaccard")
-    same = own.alias("x").join(own.alias("y"), (F.col("x.set_id") == F.col("y.set_id")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.col("x.size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    near = near.filter("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap", "jaccard")
+
+    def search(t):
+        _, rows, size, pairs = _search(t, threshold)
+        q, r, c = pairs.T
+        lists = t.column("docs").combine_chunks().cast(pa.list_(pa.int64()))
+        # the documents of both sets go along, so that no pair needs a shuffle
+        return pa.table({"a": lists.take(pa.array(rows[q])), "b": lists.take(pa.array(rows[r])), "overlap": pa.array(c, pa.int32()), "jaccard": pa.array(c / np.maximum(size[q] + size[r] - c, 1))})
+
+    near = _blocks(df, docs, n).groupBy("block").applyInArrow(search, "a array<long>, b array<long>, overlap int, jaccard double")
+    near = near.select(F.explode("a").alias("a"), "b", "overlap", "jaccard").select("a", F.explode("b").alias("b"), "overlap", "jaccard").filter("a <> b")
+    near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "overlap", "jaccard")
+    copies = docs.groupBy("set_id").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("size").alias("overlap")).filter(F.size("ids") > 1)
+    same = copies.select("ids", "overlap", F.posexplode("ids").alias("i", "doc_a")).select("doc_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("doc_b"), "overlap", F.lit(1.0).alias("jaccard"))
     return near.unionByName(same)
 
 
+def groups(df: DataFrame, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(set_id, component) of the sets that join another, directly or through others; docs is sketches(df), written.
+
+    Candidates of a component lie in one block, so its connected sets are found there.
+    """
+
+    def search(t):
+        ids, _, _, pairs = _search(t, threshold)
+        label = np.arange(len(ids))
+        q, r, _ = pairs.T
+        while len(q):
+            low = np.minimum(label[q], label[r])
+            before = label.copy()
+            np.minimum.at(label, q, low)
+            np.minimum.at(label, r, low)
+            label = label[label]
+            if np.array_equal(before, label):
+                break
+        joined = np.unique(pairs[:, :2])
+        return pa.table({"set_id": pa.array(ids[joined]), "component": pa.array(ids[label[joined]])})
+
+    return _blocks(df, docs, n).groupBy("block").applyInArrow(search, "set_id long, component long")
+
+
 def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """df without the documents that join, directly or through others, one with a smaller doc_id."""
     docs = cut(sketches(df, n))
-    linked = components(set_pairs(df, docs, n, threshold))
-    group = docs.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", F.coalesce("component", "set_id").alias("component"))
+    group = docs.join(groups(df, docs, n, threshold), "set_id", "left").select("doc_id", F.coalesce("component", "set_id").alias("component"))
     least = Window.partitionBy("component")
     gone = group.withColumn("least", F.min("doc_id").over(least)).filter("doc_id > least").select(F.col("doc_id").alias("__gone")).distinct()
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
