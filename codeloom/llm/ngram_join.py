@@ -108,7 +108,7 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     left = groups.select("groups", F.posexplode("groups").alias("i", "own")).select("own", F.slice("groups", F.col("i") + 2, F.size("groups")).alias("rest")).filter(F.size("rest") > 0)
     cross = left.select(F.explode("own").alias("a"), F.flatten("rest").alias("rest")).select("a", F.explode("rest").alias("b"))
     across = _meeting(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return components(star.unionByName(across))
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
 
 
 def divide_skip(values: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
