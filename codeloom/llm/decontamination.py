@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a re-parameterised question
 has the template windows of the original.  Windows of both sides are hash-joined;
 a document is contaminated by an item when enough of the item's windows occur in it
-and the values in the placeholders map one to one from the item's to the document's.
+and the values in the placeholders map one to one from the item's to the document's,
+both judged for each occurrence of the item on its own.
 
 The benchmark side is the small one and is sent to every task in parts of at most
 PART_WINDOWS windows; a larger benchmark takes more passes over the documents, never
@@ -15,7 +16,9 @@ Defined results
   LEAST_TOKENS: no windows, as chance repeats them;
 - very long texts: all windows; repeated rows: each judged, the report has them once;
 - null doc_id or item_id: judged and reported as such;
-- several items in a document: one report row for each; empty tables: no rows;
+- several items in a document: one report row for each; several occurrences of an item:
+  the row is that of the one with the most windows of one alignment that passes, of ties
+  the earliest; empty tables: no rows;
 - other columns: ignored in report(), passed through in clean().
 """
 
@@ -112,7 +115,7 @@ class Index:
     def __init__(self, ids: list, texts: list, window: int = WINDOW):
         w, self.kind, self.value = templates(pa.array(texts, pa.string()))
         self.ids = ids
-        size = np.diff(w.first)
+        self.size = size = np.diff(w.first)
         length = np.where(size >= window, window, np.where(size >= LEAST_TOKENS, size, 0))
         self.total = np.zeros(len(ids), np.int64)
         self.by_length: dict[int, tuple] = {}
@@ -156,22 +159,55 @@ def _match(index: Index, texts: pa.Array) -> list[tuple[int, int, float, int, in
     out = []
     for s, e in zip(edge, np.r_[edge[1:], len(rows)]):
         r = rows[s:e]
-        i, n = int(r[0, 2]), int(r[0, 3])
-        cover = len(np.unique(r[:, 1])) / index.total[i]
-        if cover < LEAST_COVERAGE:
+        if len(np.unique(r[:, 1])) < LEAST_COVERAGE * index.total[r[0, 2]]:
             continue
-        here, there = (np.unique((r[:, [1, 0]][:, None, :] + np.arange(n)[None, :, None]).reshape(-1, 2), axis=0)).T
-        slot = index.kind[here] > 0
-        share = 1.0
-        if slot.any():
-            pair = np.column_stack([index.value[here[slot]], value[there[slot]]])
-            share = min(_single(pair[:, 0], pair[:, 1]), _single(pair[:, 1], pair[:, 0]))
-        if share >= LEAST_CONSISTENT:
-            d = int(doc[s])
-            out.append((d, i, float(cover), int(r[:, 0].min() - w.first[d]), int(r[:, 0].max() + n - w.first[d]), float(share)))
+        for o in _occurrences(r, int(index.size[r[0, 2]])):
+            i, n = int(o[0, 2]), int(o[0, 3])
+            cover = len(np.unique(o[:, 1])) / index.total[i]
+            if cover >= LEAST_COVERAGE and (share := _consistent(index, value, o)) >= LEAST_CONSISTENT:
+                d = int(doc[s])
+                out.append((d, i, float(cover), int(o[:, 0].min() - w.first[d]), int(o[:, 0].max() + n - w.first[d]), share))
+                break
     return out
 
 
+def _occurrences(r: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Ways to read the matches of an item of size tokens in a document as one occurrence, the likeliest first.
+
+    Around each alignment (document token minus item token), the most frequent first,
+    each item window keeps its match of the nearest alignment, within the item's length,
+    then half of it and so on down to that alignment alone.  All matches together come
+    last, for items whose parts stand far from each other.
+    """
+    shift = r[:, 0] - r[:, 1]
+    order = np.argsort(shift, kind="stable")
+    sorted_ = shift[order]
+    at, n = np.unique(sorted_, return_counts=True)
+    for a in at[np.argsort(-n, kind="stable")]:
+        most, seen = size, -1
+        while True:
+            near = order[np.searchsorted(sorted_, a - most, "left") : np.searchsorted(sorted_, a + most, "right")]
+            if len(near) != seen:
+                seen, off = len(near), np.abs(shift[near] - a)
+                near = near[np.lexsort((r[near, 0], off, r[near, 1]))]
+                item = r[near, 1]
+                yield r[near[np.r_[True, item[1:] != item[:-1]]]]
+            if not most:
+                break
+            most //= 2
+    yield r
+
+
+def _consistent(index: Index, value: np.ndarray, r: np.ndarray) -> float:
+    """Share of the placeholder pairs of some matches that agree with a one-to-one mapping."""
+    here, there = np.unique((r[:, [1, 0]][:, None, :] + np.arange(int(r[0, 3]))[None, :, None]).reshape(-1, 2), axis=0).T
+    slot = index.kind[here] > 0
+    if not slot.any():
+        return 1.0
+    a, b = index.value[here[slot]], value[there[slot]]
+    return min(_single(a, b), _single(b, a))
+
+
 def _single(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the pairs that stay when each value of a keeps its most frequent partner in b."""
     pairs, n = np.unique(np.column_stack([a, b]), axis=0, return_counts=True)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import CLASHING, LONG, ROWS, SAME, empty, table, ugly
 
@@ -103,3 +104,20 @@ def test_defined_results(spark, items):
 def test_null_item_id_is_reported(spark):
     items = table(spark, [(None, SAME)], id_name="item_id")
     assert pairs(table(spark, [(1, SAME)]), items) == {(1, None)}
+
+
+WEEK = "On Monday the shop sold 3 red apples for 2 dollars each. On Tuesday the shop sold 5 red apples for 4 dollars each. On Friday the shop sold 8 red apples for 6 dollars each."
+
+
+def test_each_occurrence_is_judged_alone(spark):
+    items = table(spark, [(1, ITEM), (2, WEEK)], id_name="item_id")
+    apart = " ".join(ITEM.split()[:16]) + " " + filler(90) + " " + " ".join(ITEM.split()[16:])
+    got = pairs(table(spark, [(1, ITEM + " " + OTHER), (2, f"{filler(40)}. {OTHER} {filler(9)}. {ITEM}"), (3, WEEK), (4, f"{WEEK} {WEEK.replace('3', '7')}"), (5, apart)]), items)
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)}
+
+
+def test_row_is_that_of_one_occurrence(spark):
+    items = table(spark, [(1, ITEM)], id_name="item_id")
+    n = len(D.templates(pa.array([ITEM]))[1])
+    r = D.report(table(spark, [(1, ITEM + " " + OTHER)]), items).collect()
+    assert [(x.first_token, x.end_token, x.coverage, x.consistent) for x in r] == [(0, n, 1.0, 1.0)]
