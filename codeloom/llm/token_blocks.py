@@ -5,18 +5,22 @@ there, over the whole corpus, into one shared frequency table of 2^TABLE_BITS sl
 Blocks of consecutive documents are then encoded independently.  Within a block LANES interleaved coders share the work, one
 numpy step codes a token of every lane, and a checkpoint every CHECKPOINT steps holds
 the lanes' states and their place in the words, so parts of a block can be decoded in
-parallel.  Each block carries a CRC-32 of its payload and one of its tokens.
+parallel.  Each block carries a CRC-32 of its payload, one of its tokens and one of
+the table, which is a row of its own among the query's rows: blocks(), given those
+rows alone, decodes them.
 
 Defined results
 - null or empty text: a document of 0 tokens, listed in its block; very long texts: whole,
   as a block is at least one document; repeated rows: each coded; null doc_id: listed as null;
 - a token that the table lacks: an error, as the table counts the same documents;
-- empty table: no blocks; other columns: ignored.
+- the table's row: no doc_ids or payload, its column table is null in all others;
+- empty table: no blocks and no row of the table; other columns: ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +43,7 @@ _32 = np.uint64(32)
 
 _ENCODERS: dict = {}
 
-BLOCK_FIELDS = "doc_ids array<long>, doc_tokens array<int>, tokens long, steps int, words int, payload binary, checkpoint_states binary, checkpoint_words array<int>, payload_crc long, token_crc long"
+BLOCK_FIELDS = "doc_ids array<long>, doc_tokens array<int>, tokens long, steps int, words int, payload binary, checkpoint_states binary, checkpoint_words array<int>, payload_crc long, token_crc long, table_crc long, table binary"
 
 
 def _encoder(path: str):
@@ -122,8 +126,20 @@ class Table:
                 f[take] -= 1
                 spare += len(take)
             freq[seen] = f
+        return Table.of(freq, bits)
+
+    @staticmethod
+    def of(freq: np.ndarray, bits: int) -> Table:
         start = np.r_[0, np.cumsum(freq)[:-1]]
-        return Table(freq.astype(np.uint64), start.astype(np.uint64), np.repeat(np.arange(len(counts), dtype=np.int32), freq), bits)
+        return Table(freq.astype(np.uint64), start.astype(np.uint64), np.repeat(np.arange(len(freq), dtype=np.int32), freq), bits)
+
+    def pack(self) -> bytes:
+        """The bits in a byte, then the slots of each symbol, deflated."""
+        return bytes([self.bits]) + zlib.compress(self.freq.astype("<u4").tobytes())
+
+    @staticmethod
+    def unpack(data: bytes) -> Table:
+        return Table.of(np.frombuffer(zlib.decompress(data[1:]), "<u4").astype(np.int64), data[0])
 
 
 def encode(ids: np.ndarray, t: Table, lanes: int = LANES, checkpoint: int = CHECKPOINT) -> tuple[bytes, np.ndarray, np.ndarray, int]:
@@ -207,7 +223,7 @@ def decode_row(row, t: Table, part: int | None = None) -> np.ndarray:
 
 def encoded(blocks: DataFrame, t: Table, path: str = VOCABULARY) -> DataFrame:
     """Range-coded blocks, each decodable alone with the table."""
-    sent, width = blocks.sparkSession.sparkContext.broadcast(t), _width(path)
+    sent, width, crc = blocks.sparkSession.sparkContext.broadcast(t), _width(path), zlib.crc32(t.pack())
 
     def run(batches):
         for b in batches:
@@ -215,15 +231,38 @@ def encoded(blocks: DataFrame, t: Table, path: str = VOCABULARY) -> DataFrame:
             for raw in b.column("ids"):
                 ids = np.frombuffer(raw.as_buffer(), width)
                 payload, states, places, steps = encode(ids, sent.value)
-                rows.append((len(ids), steps, len(payload) // 4, payload, states.astype("<u8").tobytes(), places.tolist(), zlib.crc32(payload), zlib.crc32(ids.astype("<i4").tobytes())))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.int64())
-            names = ["tokens", "steps", "words", "payload", "checkpoint_states", "checkpoint_words", "payload_crc", "token_crc"]
+                rows.append((len(ids), steps, len(payload) // 4, payload, states.astype("<u8").tobytes(), places.tolist(), zlib.crc32(payload), zlib.crc32(ids.astype("<i4").tobytes()), crc, None))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names = ["tokens", "steps", "words", "payload", "checkpoint_states", "checkpoint_words", "payload_crc", "token_crc", "table_crc", "table"]
             yield pa.RecordBatch.from_arrays([b.column("doc_ids"), b.column("doc_tokens"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_ids", "doc_tokens", *names])
 
     return blocks.mapInArrow(run, BLOCK_FIELDS)
 
 
+def table_row(blocks: DataFrame, t: Table) -> DataFrame:
+    """The table as a row like those of encoded(); none where there are no blocks."""
+    data = t.pack()
+    rows = [] if blocks.isEmpty() else [(None, None, None, None, None, None, None, None, None, None, zlib.crc32(data), data)]
+    return blocks.sparkSession.createDataFrame(rows, BLOCK_FIELDS)
+
+
+def blocks(rows) -> Iterator[tuple]:
+    """(row, tokens) of each block among the query's rows, by the tables among them."""
+    rows, tables = list(rows), {}
+    for r in rows:
+        if r["table"] is not None:
+            if zlib.crc32(r["table"]) != r["table_crc"]:
+                raise ValueError("damaged table")
+            tables[r["table_crc"]] = Table.unpack(r["table"])
+    for r in rows:
+        if r["table"] is None:
+            if r["table_crc"] not in tables:
+                raise ValueError("a block without its table")
+            yield r, decode_row(r, tables[r["table_crc"]])
+
+
 def op10_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token ids of all documents as range-coded blocks."""
-    blocks = cut(id_blocks(table(spark, sf_dir, "documents")))
-    return encoded(blocks, Table.build(frequencies(blocks)))
+    """The token ids of all documents as range-coded blocks, and the table that decodes them."""
+    ids = cut(id_blocks(table(spark, sf_dir, "documents")))
+    t = Table.build(frequencies(ids))
+    return table_row(ids, t).unionByName(encoded(ids, t))

@@ -71,3 +71,25 @@ def test_defined_results(spark):
     assert rows == []
     with pytest.raises(ValueError):
         B.encode(np.array([5]), B.Table.build(np.array([1, 1])))
+
+
+def test_the_query_s_rows_alone_decode(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    B.op10_rans_blocks(spark, sf).write.parquet(f"{tmp_path}/out")
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    enc, seen = B._encoder(B.VOCABULARY), []
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    for r, ids in B.blocks(rows):
+        at = 0
+        for i, n in zip(r.doc_ids, r.doc_tokens):
+            assert enc.decode(ids[at : at + n].tolist()) == text[i]
+            at += n
+            seen.append(i)
+    assert sorted(seen) == sorted(text) and sum(r.table is not None for r in rows) == 1
+    with pytest.raises(ValueError):
+        list(B.blocks([r for r in rows if r.table is None]))
+
+
+def test_an_empty_table_has_no_row(spark, tmp_path):
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert B.op10_rans_blocks(spark, str(tmp_path)).count() == 0
