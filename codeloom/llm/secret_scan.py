@@ -10,6 +10,8 @@ document, so the join is local to the row and costs no shuffle.
 Defined results
 - null or empty text: no candidates; in redact() it stays as it is;
 - very long texts: scanned whole; offsets are in characters;
+- very long values: taken whole, to the end of their signs; a private key to its END line;
+- a url of over LONG_URL characters with a random string beyond them: reported alone;
 - overlapping candidates: the one first in RULES wins, then the earlier, then the longer;
 - repeated rows: reported once, each redacted; null doc_id: reported as such;
 - empty table: no rows; other columns: ignored in report(), passed through in redact().
@@ -33,21 +35,23 @@ from .kernels import slice_batches
 #: Largest gap in characters between two parts of one credential.
 SCOPE = 200
 LEAST_ENTROPY = 3.0
+#: A longer url is one that may be signed: a random string in it links it to itself.
+LONG_URL = 300
 
 #: (rule, kind, strong, pattern); the value is group v where there is one.
 RULES = tuple(
     (name, kind, strong, re.compile(pattern))
     for name, kind, strong, pattern in (
-        ("private key", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
-        ("connection string", "secret", True, r"\b[a-z][a-z0-9+]{1,15}://[^\s:/@\"']{1,80}:(?P<v>[^\s:/@\"']{3,80})@[^\s/\"']{3,100}"),
+        ("private key", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?s:(?:(?!-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----).)*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+        ("connection string", "secret", True, r"\b[a-z][a-z0-9+]{1,15}://[^\s:/@\"']+:(?P<v>[^\s:/@\"']{3,})@[^\s/\"']{3,}"),
         ("cloud access key", "identifier", True, r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"),
-        ("vendor token", "secret", True, r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,80}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-        ("assigned secret", "secret", True, r"(?i:\b(?:[a-z_]{0,20}(?:token|secret|password|passwd|pwd|api_?key|secret_?key|private_?key|credential))[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>(?=[^\s\"',;]*[0-9])[A-Za-z0-9+/=_.~!@#$%^&*-]{8,200}?)(?=[\"'\s,;]|$|###|\*\*\*|\$\$\$|%%%|&&&|!!)"),
-        ("assigned identifier", "identifier", False, r"(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>[A-Za-z0-9_.@-]{3,80})"),
+        ("vendor token", "secret", True, r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
+        ("assigned secret", "secret", True, r"(?i:\b(?:[a-z_]{0,20}(?:token|secret|password|passwd|pwd|api_?key|secret_?key|private_?key|credential))[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>(?=[^\s\"',;]*[0-9])[A-Za-z0-9+/=_.~!@#$%^&*-]{8,}?)(?=[\"'\s,;]|$|###|\*\*\*|\$\$\$|%%%|&&&|!!)"),
+        ("assigned identifier", "identifier", False, r"(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>[A-Za-z0-9_.@-]{3,})"),
         ("mail address", "identifier", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
-        ("url", "endpoint", False, r"\b(?:https?|ftp|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,300}"),
+        ("url", "endpoint", False, r"\b(?:https?|ftp|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}"),
         ("address", "endpoint", False, r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.]*[0-9])"),
-        ("random string", "secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_-])"),
+        ("random string", "secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"),
     )
 )
 #: Every text with a candidate matches this; RE2 tests a whole batch at once.
@@ -94,6 +98,10 @@ def linked(found: list[tuple[int, int, int]], scope: int = SCOPE) -> list[set[in
     return out
 
 
+def _signed(url: str) -> bool:
+    return any(entropy(m.group()) >= LEAST_ENTROPY for m in RULES[-1][3].finditer(url, LONG_URL))
+
+
 def findings(text: str | None, scope: int = SCOPE) -> list[tuple[int, int, int, list[str], int]]:
     """(start, end, rule, kinds linked, partners) of what is reported for a text."""
     if not text:
@@ -101,7 +109,7 @@ def findings(text: str | None, scope: int = SCOPE) -> list[tuple[int, int, int,
     found = candidates(text)
     out = []
     for (s, e, k), near in zip(found, linked(found, scope)):
-        if RULES[k][2] or near:
+        if RULES[k][2] or near or (RULES[k][0] == "url" and e - s > LONG_URL and _signed(text[s:e])):
             out.append((s, e, k, sorted({RULES[found[j][2]][1] for j in near}), len(near)))
     return out
 
