@@ -1,10 +1,11 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from helpers import LONG, ROWS, empty, table, ugly
 
 from codeloom.llm import packing as P
+from codeloom.llm.token_blocks import _encoder
 
 
 def naive(sizes, capacity):
@@ -83,3 +84,25 @@ def test_defined_results(spark):
     assert whole == list(range(-(-(-(-len(LONG) // 4)) // P.CAPACITY)))
     assert P.packed(empty(spark)).count() == 0
     assert P.packed(table(spark, [(1, None), (2, "")])).count() == 0
+
+
+def test_the_query_counts_tokens(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = P.op8_best_fit_bins(spark, sf).collect()
+    enc, want = _encoder(P.VOCABULARY), Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want[r.doc_id] += len(enc.encode_ordinary(r.text or ""))
+    got, filled = Counter(), Counter()
+    for r in rows:
+        got[r.doc_id] += r.tokens
+        filled[r.bin_id] += r.tokens
+        assert r.first_token == r.piece * P.CAPACITY
+    assert got == +want and max(filled.values()) <= P.CAPACITY
+
+
+def test_defined_results_in_tokens(spark):
+    enc = _encoder(P.VOCABULARY)
+    rows = P.packed(ugly(spark), vocabulary=P.VOCABULARY).collect()
+    assert sum(r.tokens for r in rows) == sum(len(enc.encode_ordinary(t or "")) for _, t in ROWS)
+    assert {r.doc_id for r in rows} == {3, 4, 5, 6, None, 7, 8} and len([r for r in rows if r.doc_id == 5]) == 2
+    assert P.packed(empty(spark), vocabulary=P.VOCABULARY).count() == 0
