@@ -1,13 +1,15 @@
 """Operator 9, benchmark decontamination: template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a re-parameterised question
-has the template windows of the original.  Windows of both sides are hash-joined;
+has the template windows of the original.  A capitalised word that begins a sentence,
+line or quotation may be a name or not, so windows over such words are indexed in both
+readings, literal and as names.  Windows of both sides are hash-joined;
 a document is contaminated by an item when enough of the item's windows occur in it
 and the values in the placeholders map one to one from the item's to the document's,
 both judged for each occurrence of the item on its own.
 
 The benchmark side is the small one and is sent to every task in parts of at most
-PART_WINDOWS windows; a larger benchmark takes more passes over the documents, never
+PART_WINDOWS windows, both readings counted; a larger benchmark takes more passes over the documents, never
 a larger broadcast.
 
 Defined results
@@ -25,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[97:123] = True
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?:;\n\"'("]] = True
 _BLANK = np.zeros(256, bool)
@@ -65,6 +70,11 @@ def _hashes(values: list[str]) -> np.ndarray:
 
 def templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """Canonical tokens of each text, the type of each (0 literal, 1 number, 2 name, 3 unit) and the hash of its value."""
+    return _templates(texts)[:3]
+
+
+def _templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Those, and which literals begin a sentence and may be names."""
     data, off = flat(texts)
     digit = _DIGIT[data]
     mask = _WORD[data].copy()
@@ -76,6 +86,7 @@ def templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     lowered = np.where(_UPPER[data], data + 32, data).astype(np.uint8)
     value = span_hash(lowered, start, end)
     kind = np.zeros(len(start), np.int8)
+    maybe = np.zeros(len(start), bool)
     if len(start):
         upper = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_UPPER[data], out=upper[1:])
@@ -85,15 +96,18 @@ def templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
         before = np.where(start > 0, solid[np.maximum(start - 1, 0)], -1)
         inner = (before >= np.repeat(off[:-1], np.diff(first))) & (before >= 0)
         begins = ~inner | _END[data[np.maximum(before, 0)]]
-        kind[_UPPER[data[start]] & (upper[end] - upper[start] == 1) & (end - start > 1) & ~begins] = 2
+        # one capital, or more after a small letter, as in McDonald
+        name = _UPPER[data[start]] & (end - start > 1) & ((upper[end] - upper[start] == 1) | _LOWER[data[np.minimum(start + 1, end - 1)]])
+        kind[name & ~begins] = 2
         kind[digit[start] | np.isin(value, _hashes(NUMBER_WORDS))] = 1
         unit = np.isin(value, _hashes(UNIT_WORDS))
         unit[1:] &= kind[:-1] == 1
         unit[0] = False
         unit[first[:-1][first[:-1] < len(unit)]] = False
         kind[unit] = 3
+        maybe = name & begins & (kind == 0)
     h = np.where(kind == 0, value, np.choose(kind, [np.uint64(0), _NUM, _NAME, _UNIT]))
-    return Words(data, off, start, end, h, first), kind, value
+    return Words(data, off, start, end, h, first), kind, value, maybe
 
 
 def template_windows(w: Words, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,25 +123,38 @@ def template_windows(w: Words, kind: np.ndarray, n: int) -> tuple[np.ndarray, np
     return h[ok], at[ok]
 
 
+def _readings(w: Words, kind: np.ndarray, maybe: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """template_windows(), and then those with words that may be names, read as names."""
+    h, at = template_windows(w, kind, n)
+    if not maybe.any():
+        return h, at
+    names = replace(w, hash=np.where(maybe, _NAME, w.hash))
+    h2, at2 = template_windows(names, np.where(maybe, np.int8(2), kind), n)
+    some = np.zeros(len(kind) + 1, np.int64)
+    np.cumsum(maybe, out=some[1:])
+    has = some[np.minimum(at2 + n, len(kind))] > some[at2]
+    return np.r_[h, h2[has]], np.r_[at, at2[has]]
+
+
 class Index:
     """Template windows of some benchmark items, sorted by hash, for each window length."""
 
     def __init__(self, ids: list, texts: list, window: int = WINDOW):
-        w, self.kind, self.value = templates(pa.array(texts, pa.string()))
+        w, self.kind, self.value, self.maybe = _templates(pa.array(texts, pa.string()))
         self.ids = ids
         self.size = size = np.diff(w.first)
         length = np.where(size >= window, window, np.where(size >= LEAST_TOKENS, size, 0))
         self.total = np.zeros(len(ids), np.int64)
         self.by_length: dict[int, tuple] = {}
         for n in sorted({int(x) for x in length} - {0}):
-            h, at = template_windows(w, self.kind, n)
+            h, at = _readings(w, self.kind, self.maybe, n)
             item = np.searchsorted(w.first, at, "right") - 1
             ok = length[item] == n
             h, at, item = h[ok], at[ok], item[ok]
             order = np.argsort(h, kind="stable")
             self.by_length[n] = (h[order], at[order], item[order], _bits(h))
-            self.total += np.bincount(item, minlength=len(ids))
-        self.windows = int(self.total.sum())
+            self.total += np.bincount(np.searchsorted(w.first, np.unique(at), "right") - 1, minlength=len(ids))
+        self.windows = sum(len(x[0]) for x in self.by_length.values())
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -139,12 +166,12 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 def _match(index: Index, texts: pa.Array) -> list[tuple[int, int, float, int, int, float]]:
     """(text, item, coverage, first token, past-the-end token, consistent share) for each contaminated pair."""
-    w, kind, value = templates(texts)
+    w, kind, value, maybe = _templates(texts)
     found = []
     for n, (h, at, item, seen) in index.by_length.items():
-        dh, dat = template_windows(w, kind, n)
-        maybe = seen[(dh >> np.uint64(44)).astype(np.int64)]
-        dh, dat = dh[maybe], dat[maybe]
+        dh, dat = _readings(w, kind, maybe, n)
+        hit = seen[(dh >> np.uint64(44)).astype(np.int64)]
+        dh, dat = dh[hit], dat[hit]
         lo, hi = np.searchsorted(h, dh, "left"), np.searchsorted(h, dh, "right")
         times = hi - lo
         k = slices(lo, hi)
@@ -201,10 +228,13 @@ def _occurrences(r: np.ndarray, size: int) -> Iterator[np.ndarray]:
 def _consistent(index: Index, value: np.ndarray, r: np.ndarray) -> float:
     """Share of the placeholder pairs of some matches that agree with a one-to-one mapping."""
     here, there = np.unique((r[:, [1, 0]][:, None, :] + np.arange(int(r[0, 3]))[None, :, None]).reshape(-1, 2), axis=0).T
-    slot = index.kind[here] > 0
+    a, b = index.value[here], value[there]
+    slot = (index.kind[here] > 0) | (index.maybe[here] & (a != b))
+    # a word that stands for a name elsewhere does so where it begins a sentence
+    slot |= index.maybe[here] & np.isin(a, a[slot])
     if not slot.any():
         return 1.0
-    a, b = index.value[here[slot]], value[there[slot]]
+    a, b = a[slot], b[slot]
     return min(_single(a, b), _single(b, a))
 
 
@@ -219,7 +249,7 @@ def indexes(benchmark: DataFrame, window: int = WINDOW, part: int = PART_WINDOWS
     """The benchmark in parts of bounded size, streamed through the driver."""
     ids, texts, size = [], [], 0
     for r in benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        tokens = len(r.text or "") // 2 + 1  # an upper bound
+        tokens = len(r.text or "") + 2  # an upper bound of the windows, in both readings
         if ids and size + tokens > part:
             yield Index(ids, texts, window)
             ids, texts, size = [], [], 0

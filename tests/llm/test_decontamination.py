@@ -121,3 +121,20 @@ def test_row_is_that_of_one_occurrence(spark):
     n = len(D.templates(pa.array([ITEM]))[1])
     r = D.report(table(spark, [(1, ITEM + " " + OTHER)]), items).collect()
     assert [(x.first_token, x.end_token, x.coverage, x.consistent) for x in r] == [(0, n, 1.0, 1.0)]
+
+
+SHORT = "Alice has 12 apples. Alice sells 5 to Robert. How many apples does Alice have?"
+
+
+def test_names_that_begin_sentences_may_change(spark):
+    items = table(spark, [(1, SHORT), (2, 'Mary buys 4 pens and 6 books for the school. "Peter pays," says Mary. Peter has 9 coins left after that.')], id_name="item_id")
+    docs = [
+        (1, SHORT), (2, "Maria has 40 apples. Maria sells 9 to Victor. How many apples does Maria have?"), (3, "Once McDonald has 40 apples. McDonald sells 9 to Victor. How many apples does McDonald have?"),
+        (4, filler(30) + '.\n"Jane buys 7 pens and 8 books for the school. "Oscar pays," says Jane. Oscar has 3 coins left after that.'), (5, "Maria has 40 apples. Nina sells 9 to Victor. How many apples does Paula have?"),
+        (6, "maria has 40 apples. maria sells 9 to victor. how many pears does maria lack?"),
+    ]
+    assert pairs(table(spark, docs), items) == {(1, 1), (2, 1), (3, 1), (4, 2)}
+
+
+def test_capitals_within_a_name():
+    assert D.templates(pa.array(["Then McDonald met NASA and LeBron"]))[1].tolist() == [0, 2, 0, 0, 0, 2]
