@@ -16,6 +16,9 @@ Defined results
 - null or empty text, on either side: no windows, never contaminated;
 - items of fewer than WINDOW tokens: one window of all their tokens; of fewer than
   LEAST_TOKENS: no windows, as chance repeats them;
+- items all of whose windows have too many placeholders, as arithmetic and tables:
+  joined on the values instead, so copies with the same values are found and
+  re-parameterised ones are not;
 - very long texts: all windows; repeated rows: each judged, the report has them once;
 - null doc_id or item_id: judged and reported as such;
 - several items in a document: one report row for each; several occurrences of an item:
@@ -136,6 +139,13 @@ def _readings(w: Words, kind: np.ndarray, maybe: np.ndarray, n: int) -> tuple[np
     return np.r_[h, h2[has]], np.r_[at, at2[has]]
 
 
+def _literal_windows(w: Words, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the values and first token of each window of n tokens; none for shorter texts."""
+    h, at = ngrams(replace(w, hash=value), n)
+    ok = np.diff(w.first)[np.searchsorted(w.first, at, "right") - 1] >= n
+    return h[ok], at[ok]
+
+
 class Index:
     """Template windows of some benchmark items, sorted by hash, for each window length."""
 
@@ -145,15 +155,20 @@ class Index:
         self.size = size = np.diff(w.first)
         length = np.where(size >= window, window, np.where(size >= LEAST_TOKENS, size, 0))
         self.total = np.zeros(len(ids), np.int64)
-        self.by_length: dict[int, tuple] = {}
+        #: by the window's length and whether it is joined on values
+        self.by_length: dict[tuple[int, bool], tuple] = {}
         for n in sorted({int(x) for x in length} - {0}):
-            h, at = _readings(w, self.kind, self.maybe, n)
-            item = np.searchsorted(w.first, at, "right") - 1
-            ok = length[item] == n
-            h, at, item = h[ok], at[ok], item[ok]
-            order = np.argsort(h, kind="stable")
-            self.by_length[n] = (h[order], at[order], item[order], _bits(h))
-            self.total += np.bincount(np.searchsorted(w.first, np.unique(at), "right") - 1, minlength=len(ids))
+            left = length == n
+            for literal in (False, True):
+                h, at = _literal_windows(w, self.value, n) if literal else _readings(w, self.kind, self.maybe, n)
+                item = np.searchsorted(w.first, at, "right") - 1
+                ok = left[item]
+                h, at, item = h[ok], at[ok], item[ok]
+                if len(h):
+                    order = np.argsort(h, kind="stable")
+                    self.by_length[n, literal] = (h[order], at[order], item[order], _bits(h))
+                    self.total += np.bincount(np.searchsorted(w.first, np.unique(at), "right") - 1, minlength=len(ids))
+                left &= self.total == 0
         self.windows = sum(len(x[0]) for x in self.by_length.values())
 
 
@@ -168,8 +183,8 @@ def _match(index: Index, texts: pa.Array) -> list[tuple[int, int, float, int, in
     """(text, item, coverage, first token, past-the-end token, consistent share) for each contaminated pair."""
     w, kind, value, maybe = _templates(texts)
     found = []
-    for n, (h, at, item, seen) in index.by_length.items():
-        dh, dat = _readings(w, kind, maybe, n)
+    for (n, literal), (h, at, item, seen) in index.by_length.items():
+        dh, dat = _literal_windows(w, value, n) if literal else _readings(w, kind, maybe, n)
         hit = seen[(dh >> np.uint64(44)).astype(np.int64)]
         dh, dat = dh[hit], dat[hit]
         lo, hi = np.searchsorted(h, dh, "left"), np.searchsorted(h, dh, "right")

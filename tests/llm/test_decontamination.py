@@ -138,3 +138,11 @@ def test_names_that_begin_sentences_may_change(spark):
 
 def test_capitals_within_a_name():
     assert D.templates(pa.array(["Then McDonald met NASA and LeBron"]))[1].tolist() == [0, 2, 0, 0, 0, 2]
+
+
+def test_items_of_placeholders_are_found_verbatim(spark):
+    table_ = "3 4 5 6 7 8 9 10 11 12"
+    items = table(spark, [(1, "What is 3 + 4 * 12 - 6?"), (2, table_), (3, ITEM)], id_name="item_id")
+    docs = [(1, "What is 3 + 4 * 12 - 6?"), (2, f"{filler(20)} what is 3 + 4 * 12 - 6 {filler(20)}"), (3, "What is 5 + 9 * 11 - 2?"), (4, f"rows: {table_} and so on"), (5, "1 2 7 8 9 10 20 30 40 50"), (6, OTHER)]
+    assert pairs(table(spark, docs), items) == {(1, 1), (2, 1), (4, 2), (6, 3)}
+    assert {r.doc_id for r in D.clean(table(spark, docs), items).collect()} == {3, 5}
