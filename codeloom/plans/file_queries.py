@@ -87,6 +87,12 @@ def node_ids(spark, sf_dir):
     return p.select("page_id", F.regexp_replace(paths.node_id(F.col("url")), "^http:__", "http___").alias("node"))
 
 
+@query()
+def page_node_ids(spark, sf_dir):
+    """The node of every page, as node_id gives it; node_ids holds the http ones alone, to which its SQL is fixed."""
+    return table(spark, sf_dir, "pages").select("page_id", paths.node_id(F.col("url")).alias("node"))
+
+
 # text
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.catalog import QUERIES
 from codeloom.functions import classify, paths, text
 from codeloom.functions.ignore import ignored
 from codeloom.operators import calls, parse, resolve, select, snapshots, trees
@@ -231,3 +232,12 @@ def test_incremental(spark, tmp_path):
     assert {r.name for r in t.current("chunks").collect()} == {"h", "k"} and {r.path for r in t.current("files").collect()} == {"a.py", "c.py"}
     t.write(spark.createDataFrame([("c.py", "python", "1", "def never(): pass")], "path string, language string, hash string, source string"), 5)
     assert {r.name for r in t.compact(str(tmp_path / "c")).current("chunks").collect()} == {"h", "k"}
+
+
+def test_every_page_has_a_node(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.page_id: r.node for r in QUERIES["page_node_ids"](spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+    safe = {r.page_id: "".join("_" if c in "/.- ()[]" else c for c in r.url) for r in pages}
+    assert got == {i: "_" + n if n[0] in "0123456789" else n for i, n in safe.items()}
+    assert any(r.url.startswith("https:") for r in pages)
