@@ -4,7 +4,8 @@ Each word enters as a hashed word vector and the mean of its hashed character
 trigram vectors.  Two gated recurrent layers read a window in both directions,
 attention pools their states and a logistic unit scores the window.  Training is
 plain numpy with hand-written back-propagation.  A document's score is that of its
-worst window; all overlapping windows of all documents are scored.
+worst window; of all documents the windows that begin every STRIDE words are scored
+(the README gives what that costs against every word).
 
 The input part of the gates depends on the word alone, so it is computed once for
 each distinct word of a batch and looked up at every position.
