@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none, as in tests."""
+    """The cluster's checkpoint folder.  Where the session names none: a temporary one on a local master, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = sc._jsc.sc().getCheckpointDir()
+    if not at and not known.isEmpty():
+        return known.get()
     if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if known.isEmpty():
         sc.setCheckpointDir(at)
     return at
 
