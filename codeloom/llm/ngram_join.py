@@ -1,30 +1,39 @@
 """Operator 2, n-gram Jaccard join: T-occurrence search by DivideSkip.
 
 Two documents join when the Jaccard coefficient of their sets of word n-grams is at
-least THRESHOLD.  The search has two levels, both T-occurrence problems:
-
-1. over the corpus: the inverted lists of each document's SKETCH least n-gram hashes.
-   Lists of one document fall out; of the others a document's SKIP longest are left
-   out (DivideSkip's long lists) and the rest merged, and a pair that meets on T - SKIP
-   of them is a candidate.  Lists of frequent passages are long, so they are skipped,
-   not multiplied out; lists of groups of near copies are not multiplied out either,
-   as their sets are first connected through the list's heaviest one.  This level is
-   approximate: a pair at the threshold is missed
-   with a probability of about 3 %, one at 0.6 of 0.2 %;
-2. among the documents that the candidates connect: inverted lists of their full
-   sets.  For each query the short lists are merged, candidates reaching T - L go on,
-   the L long lists are probed by binary search and overlaps at the exact bound stay.
-
-Documents with equal sets are searched once and expanded at the end.
+least THRESHOLD.  Documents with equal sets are searched as one.  The search has two
+levels, both T-occurrence problems:
+
+1. over the corpus: the inverted lists of each set's SKETCH least n-gram hashes, which
+   are all of a set that is no larger.  Two sets that join must meet on T lists, a
+   number that follows from their sizes (see occurrences()): exact between two small
+   sets, else the mean of a hypergeometric count less SLACK, so that a pair at the
+   threshold is missed with a probability under 3e-7 (Hoeffding).
+   A set that meets others on too few lists leaves.  Of the rest a set's longest
+   lists, fewer than its least T, are left out (DivideSkip's long lists), the others
+   merged, and a pair that still meets on T less those is a candidate.  A list's sets
+   first meet its heaviest one alone, which takes as many rows as the list has and
+   connects groups of near copies; then all pairs of sets that are not connected yet;
+2. among the sets that candidates connect: inverted lists of their full sets.  For
+   each query the short lists are merged, candidates reaching T - L go on, the L long
+   lists are probed by binary search and overlaps at the exact bound stay.
+
+No task holds an unbounded group.  N-grams that many texts of a batch share are spread
+over all partitions; long lists are split into CHUNK sets and large components into
+CHUNK_GRAMS n-grams, and every pair of such chunks is a group of its own.
 
 Defined results
+- join(): one row for each document that joins another, with class_id, the least doc_id
+  of the documents that it joins directly or through others, and links, the number of
+  documents that it joins itself; equal sets join.  Documents that join none: no row;
 - null or empty text: no n-grams, no partners; texts of fewer than N words: one n-gram
   of all their words, so they join only texts of the same words;
-- very long texts: their whole sets; ties and repeated rows: equal sets join at 1.0;
-- an id never joins itself, whatever rows repeat it; rows with a null doc_id join nothing;
+- very long texts: their whole sets; ties and repeated rows: rows that repeat a doc_id
+  and its n-grams are one document; another text under the same doc_id is another
+  document, reported under that id; rows with a null doc_id join nothing;
 - empty table: no rows; other columns: ignored in join(), passed through in keep_one();
-- keep_one(): of each group of connected documents the one with the least doc_id stays,
-  once; rows with a null doc_id all stay; of rows that repeat a doc_id the first by text.
+- keep_one(): of each class the documents with the least doc_id stay, one row each;
+  rows with a null doc_id all stay; of rows that repeat a doc_id the first by text.
 """
 
 from __future__ import annotations
@@ -34,17 +43,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IdBitmap, cut, docs_only, parts, table
+from .common import IdFilter, cut, docs_only, fresh, parts, table
 from .components import components
 from .kernels import doc_sets, fold, slice_batches, slices, words
 
 N = 3
 THRESHOLD = 0.5
-SKETCH, OCCURRENCES, SKIP = 24, 8, 3
+SKETCH, SLACK = 128, 32
+#: Of a set's least T, the share of lists that are left out.
+SKIP = 0.9
+#: The lists whose length is known, the longest ones; all others count as equally long.  16 bytes each are broadcast.
+KNOWN_LISTS = 100_000
+#: An n-gram is spread over the partitions by a batch in which this many texts, and this share of them, hold it.
+SPREAD_TEXTS, SPREAD_SHARE = 32, 0.02
+#: Sets of a list, and n-grams of a component, in one chunk; groups hold pairs of chunks.
+CHUNK, CHUNK_GRAMS = 2048, 4_000_000
+_SPREAD = 1 << 62
+
+
+def occurrences(size_a: np.ndarray, size_b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """T: the lists of their sketches on which two sets of these sizes meet, at least, if they join.
+
+    They share t / (1 + t) of their sizes' sum, o.  Of the larger set's SKETCH least
+    hashes a hypergeometric number, o / size on average, is shared; where that set's
+    sketch ends first, the other sketch holds those too, and the same goes the other
+    way round, so T is at least the lesser mean less SLACK.
+    """
+    low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    overlap = threshold / (1 + threshold) * (low + high)
+    return np.where(high <= SKETCH, np.ceil(overlap - 1e-9), np.floor(SKETCH * overlap / np.maximum(high, 1) - SLACK)).astype(np.int64)
+
+
+def least_occurrences(size: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The least T of a set of this size with any partner: one whose size is the threshold's share of the other's."""
+    return np.maximum(1, np.minimum(np.ceil(threshold * np.asarray(size) - 1e-9), np.floor(SKETCH * threshold - SLACK))).astype(np.int64)
+
+
+def skipped(size: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """How many of a set's longest lists are left out."""
+    need = least_occurrences(size, threshold)
+    return np.minimum(np.floor(SKIP * need).astype(np.int64), need - 1)
+
+
+def _candidate(a, b, skip_a, skip_b, met, threshold: float) -> np.ndarray:
+    """Whether sets of sizes a and b that meet on met lists, of those not left out, may join."""
+    fits = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+    return fits & (met >= np.maximum(1, occurrences(a, b, threshold) - np.maximum(skip_a, skip_b)))
 
 
 def sketches(df: DataFrame, n: int = N, k: int = SKETCH) -> DataFrame:
-    """doc_id, set_id, size and the k least hashes of each document with an id and a word."""
+    """doc_id, set_id, size and the k least hashes of each document with an id and a word; hashes that much of a batch shares carry _SPREAD."""
 
     def run(batches):
         for b in slice_batches(batches):
@@ -53,6 +101,10 @@ def sketches(df: DataFrame, n: int = N, k: int = SKETCH) -> DataFrame:
             ok = np.flatnonzero(size > 0)
             take = np.minimum(size[ok], k)
             least = values[slices(first[ok], first[ok] + take)].astype(np.int64)
+            gram, texts = np.unique(least, return_counts=True)
+            much = gram[texts >= max(SPREAD_TEXTS, SPREAD_SHARE * len(ok))]
+            if len(much):
+                least[np.isin(least, much)] |= _SPREAD
             sets = fold(values, first)[ok].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(ok)), pa.array(sets), pa.array(size[ok], pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(least))],
@@ -62,59 +114,180 @@ def sketches(df: DataFrame, n: int = N, k: int = SKETCH) -> DataFrame:
     return docs_only(df).filter("doc_id is not null").mapInArrow(run, "doc_id long, set_id long, size int, sketch array<long>")
 
 
-def _need(size):
-    """Occurrences among sketches that two documents must share, the smaller sketch having this size."""
-    return F.greatest(F.lit(1), F.floor(size * OCCURRENCES / SKETCH)).cast("int")
+def _met_lists(docs: DataFrame) -> DataFrame:
+    """gram, set_id and size of the entries of lists that hold two sets or more.
 
+    Entries are sorted by list, then set, and pass through with one row held back.
+    Spread ones are let through, as their lists lie in many partitions.
+    """
+    entry = docs.select(F.explode("sketch").alias("gram"), "set_id", "size")
+    spread = entry.select((F.col("gram") >= _SPREAD).alias("spread"), F.col("gram").bitwiseAND(F.lit(_SPREAD - 1)).alias("gram"), "set_id", "size")
+    n = parts(docs.sparkSession)
+    home = F.when(F.col("spread"), F.pmod(F.xxhash64("gram", "set_id"), F.lit(n))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(n))).cast("int")
 
-def _skip(size):
-    return F.least(F.lit(SKIP), _need(size) - 1)
+    def run(batches):
+        held, seen = None, False  # the last row, and whether its list had others before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            gram, sets = t.column("gram").to_numpy(), t.column("set_id").to_numpy()
+            own = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (sets[1:] != sets[:-1])])
+            # of equal rows one stays, spread if the last is: false sorts first
+            last = np.r_[own[1:] - 1, len(gram) - 1]
+            t, gram = t.take(pa.array(last)), gram[last]
+            same = gram[1:] == gram[:-1]
+            before, after = np.r_[seen, same], np.r_[same, False]
+            keep = before | after | t.column("spread").to_numpy(zero_copy_only=False)
+            keep[-1] = False
+            held, seen = t.slice(len(gram) - 1).to_batches()[0], bool(before[-1])
+            yield from t.filter(pa.array(keep)).select(["gram", "set_id", "size"]).to_batches()
+        if held is not None and (seen or held.column("spread")[0].as_py()):
+            yield held.select(["gram", "set_id", "size"])
+
+    return spread.repartitionById(n, home).sortWithinPartitions("gram", "set_id", "spread").mapInArrow(run, "gram long, set_id long, size int")
+
+
+def _searched(docs: DataFrame, threshold: float) -> DataFrame:
+    """set_id, size and grams, the lists it meets others on, of the sets that meet others on as many lists as their least T."""
+    sets = _met_lists(docs).groupBy("set_id").agg(F.first("size").alias("size"), F.collect_set("gram").alias("grams"))
+    need = F.greatest(F.lit(1), F.least(F.ceil(F.col("size") * threshold - 1e-9), F.lit(int(np.floor(SKETCH * threshold - SLACK)))))
+    return cut(sets.filter(F.size("grams") >= need))
+
+
+def _known_lists(sets: DataFrame):
+    """The KNOWN_LISTS longest lists and their lengths, sent to all tasks."""
+    known = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(KNOWN_LISTS).toPandas().sort_values("gram")
+    return sets.sparkSession.sparkContext.broadcast((known["gram"].to_numpy(np.int64), known["n"].to_numpy(np.int64)))
+
+
+def _merged_lists(sets: DataFrame, known, threshold: float) -> DataFrame:
+    """gram, set_id, size, skip, weight and component of the entries that are merged: all but each set's longest lists.
+
+    The weight of a set is the length of its known lists, so that in a group of near
+    copies the most typical one has the greatest.
+    """
 
+    def run(batches):
+        listed, length = known.value
+        for b in batches:
+            grams = b.column("grams")
+            count = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            gram, owner = grams.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(b.num_rows), count)
+            long = np.zeros(len(gram), np.int64)
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, gram), len(listed) - 1)
+                long = np.where(listed[at] == gram, length[at], 0)
+            size = b.column("size").to_numpy().astype(np.int64)
+            skip = skipped(size, threshold)
+            weight = np.bincount(owner, long, b.num_rows).astype(np.int64)
+            order = np.lexsort((gram, -long, owner))  # lists in the same order for every set
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(count) - count, count)
+            keep = order[place >= skip[owner]]
+            of = owner[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram[keep]), b.column("set_id").take(pa.array(of)), pa.array(size[of], pa.int32()), pa.array(skip[of], pa.int32()), pa.array(weight[of]), b.column("component").take(pa.array(of))],
+                ["gram", "set_id", "size", "skip", "weight", "component"],
+            )
 
-def _merged_lists(sets: DataFrame) -> DataFrame:
-    """set_id, k, gram and weight of the list entries that are merged: all but those of one set and each set's longest lists.
+    return sets.select("set_id", "size", "grams", "component").mapInArrow(run, "gram long, set_id long, size int, skip int, weight long, component long")
 
-    The weight of a set is the length of all its lists, so that in a group of near
-    copies the most typical one has the greatest.
-    """
-    entry = sets.select("set_id", F.size("sketch").alias("k"), F.explode("sketch").alias("gram"))
-    listed = entry.withColumn("long", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("long > 1")
-    own = Window.partitionBy("set_id")
-    placed = listed.withColumns({"place": F.row_number().over(own.orderBy(F.desc("long"), F.desc("gram"))), "weight": F.sum("long").over(own)})
-    return placed.filter(F.col("place") > _skip(F.col("k"))).select("set_id", "k", "gram", "weight")
 
+def _meeting(pair: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the candidates among a, b, size_a, size_b, skip_a, skip_b and met, parts of the number of lists they meet on."""
+    met = pair.groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.first(c).alias(c) for c in ("size_a", "size_b", "skip_a", "skip_b")])
+
+    def run(batches):
+        for b in batches:
+            column = lambda c: b.column(c).to_numpy().astype(np.int64)
+            ok = _candidate(*(column(c) for c in ("size_a", "size_b", "skip_a", "skip_b", "met")), threshold)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
-def _meeting(pair: DataFrame) -> DataFrame:
-    """a, b of the pairs of structs (set_id, k) that meet often enough."""
-    met = pair.groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), F.least("a.k", "b.k").alias("low"), F.greatest("a.k", "b.k").alias("high")).agg(F.count(F.lit(1)).alias("met"))
-    return met.filter(F.col("met") >= _need(F.col("low")) - _skip(F.col("high"))).select("a", "b")
+    return met.mapInArrow(run, "a long, b long")
 
 
-def linked_sets(sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets that candidate pairs connect; sets(set_id, sketch).
+def _across(own: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets on one list and of different components, with the number of lists in parts.
 
-    Every candidate pair counts, but those that only confirm a connection are never
-    formed: first each list's sets meet its heaviest one alone, which takes as many
-    rows as the list has and connects most of a group of near copies; then the pairs
-    across the components found so far are formed in full.
+    A list of more than CHUNK sets is split by set, and each pair of its chunks is a
+    group, so a group has at most about 2 x CHUNK sets.
     """
-    entries = cut(_merged_lists(sets))
-    top = entries.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "k")).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "b")
-    star = _meeting(entries.join(top, "gram").filter("set_id <> b.set_id").select(F.struct("set_id", "k").alias("a"), F.struct("b.set_id", "b.k").alias("b")))
-    star = cut(star)
-    known = components(star)
-    own = entries.join(known.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("gram", F.coalesce("component", "set_id").alias("component"), F.struct("set_id", "k").alias("s"))
-    groups = own.groupBy("gram", "component").agg(F.collect_list("s").alias("own")).groupBy("gram").agg(F.collect_list("own").alias("groups")).filter(F.size("groups") > 1)
-    left = groups.select("groups", F.posexplode("groups").alias("i", "own")).select("own", F.slice("groups", F.col("i") + 2, F.size("groups")).alias("rest")).filter(F.size("rest") > 0)
-    cross = left.select(F.explode("own").alias("a"), F.flatten("rest").alias("rest")).select("a", F.explode("rest").alias("b"))
-    across = _meeting(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
-
-
-def divide_skip(values: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    own = own.drop("weight")
+    lists = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    placed = own.join(lists.select("gram", chunks.alias("chunks")), "gram").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    placed = placed.select("gram", "chunk", other, "set_id", "size", "skip", "component")
+    placed = placed.select("gram", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), "set_id", "size", "skip", "component")
+    fields = ("set_id", "size", "skip", "component", "second", "i", "j", "gram")
+
+    def groups(t):
+        """All pairs within the groups of t, each pair once with its number of groups."""
+        edge = np.flatnonzero(np.r_[True, (t["gram"][1:] != t["gram"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])])
+        count = np.diff(np.r_[edge, len(t["gram"])])
+        end = np.repeat(edge + count, count)
+        at = np.arange(len(end))
+        step = max(1, 4_000_000 // max(1, int(count.max())))
+        for s in range(0, len(at), step):
+            left, right = np.repeat(at[s : s + step], end[s : s + step] - at[s : s + step] - 1), slices(at[s : s + step] + 1, end[s : s + step])
+            low, high = np.minimum(t["size"][left], t["size"][right]), np.maximum(t["size"][left], t["size"][right])
+            ok = (t["component"][left] != t["component"][right]) & (low >= threshold * high - 1e-9)
+            ok &= (t["i"][left] == t["j"][left]) | (t["second"][left] != t["second"][right])
+            yield left[ok], right[ok]
+
+    def run(batches):
+        rest = None
+
+        def emit(t):
+            found = [np.concatenate(x) for x in zip(*groups(t))] if len(t["gram"]) else []
+            if not found or not len(found[0]):
+                return
+            left, right = found
+            swap = t["set_id"][left] > t["set_id"][right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            order = np.lexsort((t["set_id"][right], t["set_id"][left]))
+            left, right = left[order], right[order]
+            a, b = t["set_id"][left], t["set_id"][right]
+            edge = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            met = np.diff(np.r_[edge, len(a)])
+            left, right = left[edge], right[edge]
+            yield pa.RecordBatch.from_arrays([pa.array(t["set_id"][left]), pa.array(t["set_id"][right]), *(pa.array(t[c][s], pa.int32()) for c in ("size", "skip") for s in (left, right)), pa.array(met, pa.int64())], ["a", "b", "size_a", "size_b", "skip_a", "skip_b", "met"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = {k: b.column(k).to_numpy(zero_copy_only=False) for k in fields}
+            if rest is not None:
+                t = {k: np.concatenate([rest[k], t[k]]) for k in fields}
+            same = (t["gram"] == t["gram"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
+            cutoff = int(np.argmax(same))
+            rest = {k: v[cutoff:] for k, v in t.items()}
+            yield from emit({k: v[:cutoff] for k, v in t.items()})
+        if rest is not None:
+            yield from emit(rest)
+
+    return placed.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, "a long, b long, size_a int, size_b int, skip_a int, skip_b int, met long")
+
+
+def linked_sets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the sets that candidate pairs connect; docs is sketches(df), written."""
+    sets = _searched(docs, threshold)
+    known = _known_lists(sets)
+    entries = _merged_lists(sets.withColumn("component", F.col("set_id")), known, threshold).drop("component")
+    top = entries.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "size", "skip")).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "b")
+    sides = [F.col("set_id").alias("a"), F.col("b.set_id").alias("b"), F.col("size").alias("size_a"), F.col("b.size").alias("size_b"), F.col("skip").alias("skip_a"), F.col("b.skip").alias("skip_b"), F.lit(1).cast("long").alias("met")]
+    star = entries.join(top, "gram").filter("set_id <> b.set_id").select(*sides)  # of two sets the heavier is always b
+    connected = components(_meeting(star, threshold))
+    placed = sets.join(connected.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    across = _meeting(_across(_merged_lists(placed, known, threshold), threshold), threshold)
+    return components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
+
+
+def divide_skip(values: np.ndarray, first: np.ndarray, threshold: float, side: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each set, as a query, the earlier sets with a Jaccard coefficient of at least threshold.
 
-    values[first[i]:first[i+1]] is set i, sorted.  Gives arrays (query, partner, overlap).
+    values[first[i]:first[i+1]] is set i, sorted; with side, only partners on another side
+    count.  Gives arrays (query, partner, overlap).
     """
     sets = len(first) - 1
     size = np.diff(first)
@@ -139,6 +312,8 @@ def divide_skip(values: np.ndarray, first: np.ndarray, threshold: float) -> list
         short, long = own[: len(own) - skip], own[len(own) - skip :]
         found, count = np.unique(so[slices(begin[short], begin[short] + length[short])], return_counts=True)
         ok = (found < q) & (count >= t - skip) & (size[found] >= threshold * size[q] - 1e-9) & (size[q] >= threshold * size[found] - 1e-9)
+        if side is not None:
+            ok &= side[found] != side[q]
         found, count = found[ok], count[ok]
         if len(found) and skip:
             probe = (long[None, :] * sets + found[:, None]).ravel()
@@ -163,14 +338,18 @@ def _long_lists(cum: np.ndarray, length: np.ndarray, t: int) -> int:
     return best
 
 
-def _blocks(df: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """block, node, docs and grams of every set that has candidates; whole components lie in one block.  docs is sketches(df), written."""
+def _blocks(df: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """block, i, j, second, node, doc_id, copies and grams of every set that has candidates.
+
+    Components of up to CHUNK_GRAMS n-grams lie in one block with others, i and j null;
+    larger ones are split by set, and each pair of chunks i and j is a block, in which
+    second tells the sets of j.  docs is sketches(df), written.
+    """
     spark = df.sparkSession
-    sets = docs.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    linked = linked_sets(sets).withColumnRenamed("node", "set_id")
-    chosen = docs.join(linked, "set_id").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.array_distinct(F.collect_list("doc_id")).alias("docs"), F.first("component").alias("component"))
-    chosen = cut(chosen)
-    needed = IdBitmap(chosen)
+    linked = linked_sets(docs, threshold).withColumnRenamed("node", "set_id")
+    chosen = cut(_sets(docs).join(linked, "set_id").withColumnRenamed("set_id", "node"))
+    weight = chosen.groupBy("component").agg(F.ceil(F.sum("size") / CHUNK_GRAMS).cast("int").alias("chunks"))
+    needed = IdFilter(chosen)
 
     def full(batches):
         for b in slice_batches(batches):
@@ -182,50 +361,44 @@ def _blocks(df: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(sid[at]), blob], ["doc_id", "node", "grams"])
 
     blobs = docs_only(df).filter("doc_id is not null").mapInArrow(full, "doc_id long, node long, grams binary")
-    return blobs.join(chosen, ["node", "doc_id"]).select("node", F.pmod(F.xxhash64("component"), F.lit(4 * parts(spark))).alias("block"), "docs", "grams")
+    own = blobs.join(chosen.join(weight, "component"), ["node", "doc_id"])
+    small, large = own.filter("chunks = 1"), own.filter("chunks > 1")
+    common = ("node", "doc_id", "copies", "grams")
+    whole = small.select(F.pmod(F.xxhash64("component"), F.lit(4 * parts(spark))).alias("block"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(False).alias("second"), *common)
+    split = large.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    split = split.select("component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), *common)
+    split = split.select(F.col("component").alias("block"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"), *common)
+    return whole.unionByName(split)
+
 
+def _sets(docs: DataFrame) -> DataFrame:
+    """set_id, its least doc_id, size and number of documents."""
+    return docs.select("set_id", "doc_id", "size").distinct().groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
 
-def _search(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a block's sets by size, their rows and sizes, and the pairs found among them."""
-    ids, at = np.unique(t.column("node").to_numpy(), return_index=True)
+
+def _search(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a block's sets, by size, their sizes, and the pairs found among them as places in these, with their overlap."""
+    _, at = np.unique(t.column("node").to_numpy(), return_index=True)
     column = t.column("grams").combine_chunks()
     grams = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
     order = np.argsort([len(g) for g in grams], kind="stable")
     size = np.array([len(grams[i]) for i in order])
-    found = divide_skip(np.concatenate([grams[i] for i in order]), np.r_[0, np.cumsum(size)].astype(np.int64), threshold)
+    rows = at[order]
+    side = t.column("second").to_numpy()[rows] if t.column("i")[0].as_py() != t.column("j")[0].as_py() else None
+    found = divide_skip(np.concatenate([grams[i] for i in order]), np.r_[0, np.cumsum(size)].astype(np.int64), threshold, side)
     pairs = np.column_stack([np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)])
-    return ids[order], at[order], size, pairs
+    return rows, size, pairs
 
 
-def join(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs doc_a < doc_b of documents that join, with overlap and Jaccard coefficient."""
-    docs = cut(sketches(df, n))
+def _groups(df: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """set_id, component and links, the number of documents with other sets that it joins, of the sets that join others; docs is sketches(df), written."""
 
     def search(t):
-        _, rows, size, pairs = _search(t, threshold)
-        q, r, c = pairs.T
-        lists = t.column("docs").combine_chunks().cast(pa.list_(pa.int64()))
-        # the documents of both sets go along, so that no pair needs a shuffle
-        return pa.table({"a": lists.take(pa.array(rows[q])), "b": lists.take(pa.array(rows[r])), "overlap": pa.array(c, pa.int32()), "jaccard": pa.array(c / np.maximum(size[q] + size[r] - c, 1))})
-
-    near = _blocks(df, docs, n).groupBy("block").applyInArrow(search, "a array<long>, b array<long>, overlap int, jaccard double")
-    near = near.select(F.explode("a").alias("a"), "b", "overlap", "jaccard").select("a", F.explode("b").alias("b"), "overlap", "jaccard").filter("a <> b")
-    near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "overlap", "jaccard")
-    copies = docs.groupBy("set_id").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("size").alias("overlap")).filter(F.size("ids") > 1)
-    same = copies.select("ids", "overlap", F.posexplode("ids").alias("i", "doc_a")).select("doc_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("doc_b"), "overlap", F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
-
-
-def groups(df: DataFrame, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(set_id, component) of the sets that join another, directly or through others; docs is sketches(df), written.
-
-    Candidates of a component lie in one block, so its connected sets are found there.
-    """
-
-    def search(t):
-        ids, _, _, pairs = _search(t, threshold)
-        label = np.arange(len(ids))
+        rows, _, pairs = _search(t, threshold)
         q, r, _ = pairs.T
+        copies = t.column("copies").to_numpy()[rows]
+        links = np.bincount(q, copies[r], len(rows)) + np.bincount(r, copies[q], len(rows))
+        label = np.arange(len(rows))
         while len(q):
             low = np.minimum(label[q], label[r])
             before = label.copy()
@@ -235,23 +408,57 @@ def groups(df: DataFrame, docs: DataFrame, n: int = N, threshold: float = THRESH
             if np.array_equal(before, label):
                 break
         joined = np.unique(pairs[:, :2])
-        return pa.table({"set_id": pa.array(ids[joined]), "component": pa.array(ids[label[joined]])})
+        node = t.column("node").to_numpy()[rows]
+        whole = t.column("i")[0].as_py() is None
+        return pa.table({"set_id": pa.array(node[joined]), "component": pa.array(node[label[joined]]), "links": pa.array(links[joined].astype(np.int64)), "whole": pa.array(np.full(len(joined), whole))})
+
+    found = cut(_blocks(df, docs, n, threshold).groupBy("block", "i", "j").applyInArrow(search, "set_id long, component long, links long, whole boolean"))
+    split = found.filter("not whole")
+    joined = components(split.select(F.col("set_id").alias("a"), F.col("component").alias("b")))
+    split = split.groupBy("set_id").agg(F.sum("links").alias("links")).join(joined.withColumnRenamed("node", "set_id"), "set_id")
+    return found.filter("whole").select("set_id", "component", "links").unionByName(split.select("set_id", "component", "links"))
+
+
+def _documents(df: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """doc_id, class_id and links of every document that joins another; docs is sketches(df), written."""
+    sets = _sets(docs).join(_groups(df, docs, n, threshold), "set_id", "left")
+    sets = sets.select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).filter("links > 0")
+    least = sets.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return docs.select("set_id", "doc_id").distinct().join(sets.drop("doc_id").join(least, "component"), "set_id").select("doc_id", "class_id", "links")
+
+
+def join(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id and links of every document that joins another."""
+    return _documents(df, cut(sketches(df, n)), n, threshold)
+
+
+def pairs(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs of different sets that join, each set by its least doc_id, with overlap and Jaccard coefficient.
+
+    They are as many as a group of near copies has pairs of texts, so join() only
+    counts them; with the documents of each set they give every link.
+    """
+
+    def search(t):
+        rows, size, found = _search(t, threshold)
+        q, r, c = found.T
+        doc = t.column("doc_id").to_numpy()[rows]
+        return pa.table({"doc_a": pa.array(np.minimum(doc[q], doc[r])), "doc_b": pa.array(np.maximum(doc[q], doc[r])), "overlap": pa.array(c, pa.int32()), "jaccard": pa.array(c / np.maximum(size[q] + size[r] - c, 1))})
 
-    return _blocks(df, docs, n).groupBy("block").applyInArrow(search, "set_id long, component long")
+    return _blocks(df, cut(sketches(df, n)), n, threshold).groupBy("block", "i", "j").applyInArrow(search, "doc_a long, doc_b long, overlap int, jaccard double")
 
 
 def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """df without the documents that join, directly or through others, one with a smaller doc_id."""
     docs = cut(sketches(df, n))
-    group = docs.join(groups(df, docs, n, threshold), "set_id", "left").select("doc_id", F.coalesce("component", "set_id").alias("component"))
-    least = Window.partitionBy("component")
-    gone = group.withColumn("least", F.min("doc_id").over(least)).filter("doc_id > least").select(F.col("doc_id").alias("__gone")).distinct()
+    gone_id, turn = fresh(df, "gone"), fresh(df, "turn")
+    gone = _documents(df, docs, n, threshold).filter("doc_id > class_id").select(F.col("doc_id").alias(gone_id)).distinct()
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        turn = Window.partitionBy("doc_id").orderBy("text")
-        df = df.withColumn("__turn", F.row_number().over(turn)).filter("doc_id is null or __turn = 1").drop("__turn")
-    return df.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+        by = Window.partitionBy("doc_id").orderBy("text")
+        df = df.withColumn(turn, F.row_number().over(by)).filter(F.col("doc_id").isNull() | (F.col(turn) == 1)).drop(turn)
+    return df.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-duplicate pairs of documents."""
+    """Documents that have near duplicates, with their class and number of links."""
     return join(table(spark, sf_dir, "documents"))

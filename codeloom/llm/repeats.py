@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdBitmap, cut, docs_only, parts, table
+from .common import IdFilter, cut, docs_only, parts, table
 from .kernels import Words, mix, ngrams, slice_batches, slices, words
 
 #: Words of a passage that must occur again.
@@ -201,7 +201,7 @@ def repeated(df: DataFrame, least: int = LEAST, symbol: int = SYMBOL) -> DataFra
     entry = texts.select("doc_id", "text_id", F.explode(F.arrays_zip("anchors", "places")).alias("e")).select("doc_id", "text_id", F.col("e.anchors").alias("anchor"), F.col("e.places").alias("place"))
     again = entry.join(entry.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchor", "left_semi")
     hot = cut(again.groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places")).withColumn("uid", F.monotonically_increasing_id()))
-    needed = IdBitmap(hot.select("doc_id").distinct())
+    needed = IdFilter(hot.select("doc_id").distinct())
 
     def wanted(batches):
         for b in slice_batches(batches):

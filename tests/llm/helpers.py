@@ -6,7 +6,7 @@ LONG = " ".join(f"word{k % 977}" for k in range(30_000))
 SAME = "the very same words stand here in the very same order for every reader who cares to look at them twice"
 ROWS = [(1, None), (2, ""), (3, "short"), (4, LONG), (5, SAME), (5, SAME), (6, SAME), (None, SAME), (None, None), (7, "   \n\t "), (8, "é世界 🎉 naïve")]
 #: Names that the operators use themselves.
-CLASHING = ("set_id", "node", "component", "uid", "words", "tokens", "label", "score", "keep", "shard", "hash", "places", "a", "__gone2")
+CLASHING = ("set_id", "node", "component", "uid", "words", "tokens", "label", "score", "keep", "shard", "hash", "places", "a", "__gone", "__turn", "gone", "Turn", "class_id", "links", "gram", "second")
 
 
 def table(spark, rows, extra=(), id_name="doc_id"):
