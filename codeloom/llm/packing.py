@@ -1,8 +1,7 @@
 """Operator 8, best-fit packing: large-item matching.
 
-Documents are packed into bins of CAPACITY tokens: those of a vocabulary, counted
-exactly by operator 4, where packed() is given one, as the query does; else units of
-CHARS characters, as in the pipeline, of which a text has fewer than tokens.  Pieces above a third of it are
+Documents are packed into bins of CAPACITY tokens of a vocabulary, counted exactly by
+operator 4.  Pieces above a third of it are
 large: no three fit together, so each is matched greedily, from the largest down,
 with the largest other one that still fits.  Smaller pieces then go, from the
 largest down, each into the tightest gap that holds it.  A document longer than a
@@ -13,7 +12,7 @@ with the corpus; bins half empty at a shard's end cost under one bin in a thousa
 
 Defined results
 - a text of no characters, or null: no tokens and no piece;
-- first_token, tokens and bin_offset: all in the unit of the sizes;
+- first_token, tokens and bin_offset: all in tokens, so no bin overflows;
 - very long texts: cut, every piece reported; ties in size: by doc_id, nulls first,
   then by the order within the shard; repeated rows: each packed;
 - empty table: no rows; other columns: ignored.
@@ -33,8 +32,6 @@ from .kernels import slice_batches
 from .tokenizer import VOCABULARY, count_tokens
 
 CAPACITY = 2048
-#: Characters a unit, for lengths without a vocabulary; a document has one unit at least.
-CHARS = 4
 SHARD = 20_000
 
 _FIELDS = "bin_id long, doc_id long, piece int, first_token long, tokens int, bin_offset int"
@@ -85,13 +82,9 @@ def _counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens long, mark long")
 
 
-def packed(df: DataFrame, capacity: int = CAPACITY, chars: int = CHARS, shard: int = SHARD, vocabulary: str | None = None) -> DataFrame:
-    """bin_id, doc_id, piece, first_token, tokens and bin_offset of every piece of df(doc_id, text), sizes in tokens of the vocabulary or, without one, in units of chars characters."""
-    docs, mark = docs_only(df), F.xxhash64("doc_id", "text").alias("mark")
-    if vocabulary:
-        items = _counted(docs.select("doc_id", "text", mark), vocabulary).filter("tokens > 0")
-    else:
-        items = docs.select("doc_id", F.ceil(F.char_length("text") / chars).cast("long").alias("tokens"), mark).filter("tokens > 0")
+def packed(df: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, vocabulary: str = VOCABULARY) -> DataFrame:
+    """bin_id, doc_id, piece, first_token, tokens and bin_offset of every piece of df(doc_id, text), sizes in tokens of the vocabulary."""
+    items = _counted(docs_only(df).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark")), vocabulary).filter("tokens > 0")
     shards = max(1, -(-df.count() // shard))
 
     def run(key, t):
@@ -120,4 +113,4 @@ def packed(df: DataFrame, capacity: int = CAPACITY, chars: int = CHARS, shard: i
 
 def op8_best_fit_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in bins of CAPACITY tokens of the vocabulary."""
-    return packed(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
+    return packed(table(spark, sf_dir, "documents"))
