@@ -10,7 +10,9 @@ document, so the join is local to the row and costs no shuffle.
 Defined results
 - null or empty text: no candidates; in redact() it stays as it is;
 - very long texts: scanned whole; offsets are in characters;
-- very long values: taken whole, to the end of their signs; a private key to its END line;
+- very long values: taken whole, to the end of their signs, an assigned one to three
+  of one punctuation sign; a private key to its END line, without one to the end of its
+  lines of 32 signs of base 64 or more;
 - a url of over LONG_URL characters with a random string beyond them: reported alone;
 - overlapping candidates: the one first in RULES wins, then the earlier, then the longer;
 - repeated rows: reported once, each redacted; null doc_id: reported as such;
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -42,11 +45,11 @@ LONG_URL = 300
 RULES = tuple(
     (name, kind, strong, re.compile(pattern))
     for name, kind, strong, pattern in (
-        ("private key", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?s:(?:(?!-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----).)*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+        ("private key", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?s:(?:(?!-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----).)*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{32,})+(?:(?:\s|\\[nr])*[A-Za-z0-9+/]*={1,2})?)?"),
         ("connection string", "secret", True, r"\b[a-z][a-z0-9+]{1,15}://[^\s:/@\"']+:(?P<v>[^\s:/@\"']{3,})@[^\s/\"']{3,}"),
         ("cloud access key", "identifier", True, r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"),
         ("vendor token", "secret", True, r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-        ("assigned secret", "secret", True, r"(?i:\b(?:[a-z_]{0,20}(?:token|secret|password|passwd|pwd|api_?key|secret_?key|private_?key|credential))[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>(?=[^\s\"',;]*[0-9])[A-Za-z0-9+/=_.~!@#$%^&*-]{8,}?)(?=[\"'\s,;]|$|###|\*\*\*|\$\$\$|%%%|&&&|!!)"),
+        ("assigned secret", "secret", True, r"(?i:\b(?:[a-z_]{0,20}(?:token|secret|password|passwd|pwd|api_?key|secret_?key|private_?key|credential))[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>(?=[^\s\"',;]*[0-9])[A-Za-z0-9+/=_.~!@#$%^&*-]{8,}?)(?=[\"'\s,;]|$|([#*$%&!~^])\2\2)"),
         ("assigned identifier", "identifier", False, r"(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id)[\"']?\s{0,3}[=:]\s{0,3})[\"']?(?P<v>[A-Za-z0-9_.@-]{3,})"),
         ("mail address", "identifier", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
         ("url", "endpoint", False, r"\b(?:https?|ftp|s3|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}"),
@@ -67,7 +70,7 @@ def entropy(s: str) -> float:
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, rule) of the non-overlapping candidates of a text, by start."""
-    taken: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []  # never overlapping, by start
     for k, (name, _, _, pattern) in enumerate(RULES):
         for m in pattern.finditer(text):
             group = "v" if "v" in pattern.groupindex else 0
@@ -76,9 +79,10 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 continue
             if name == "connection string":
                 s, e = m.span()
-            if not any(s < b and a < e for a, b, _ in taken):
-                taken.append((s, e, k))
-    return sorted(taken)
+            at = bisect_left(taken, (s,))
+            if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+                taken.insert(at, (s, e, k))
+    return taken
 
 
 def linked(found: list[tuple[int, int, int]], scope: int = SCOPE) -> list[set[int]]:

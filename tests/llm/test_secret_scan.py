@@ -127,8 +127,19 @@ def test_private_keys_are_taken_to_their_end(body):
     assert replaced(f"-----BEGIN PRIVATE KEY----- alone, then {key} end") == "[secret] alone, then [secret] end"
 
 
+def test_a_private_key_without_an_end_is_taken_to_the_end_of_its_lines():
+    lines = "\n".join(noise(64, seed) for seed in range(20))
+    assert replaced(f"-----BEGIN PRIVATE KEY-----\n{lines}\nMIIE== and plain words follow") == "[secret] and plain words follow"
+
+
+def test_three_of_one_sign_end_an_assigned_value():
+    for junk in ("###", "***", "&&&", "~~~", "^^^^"):
+        assert ("assigned secret", "hunter2hunter2") in found(f"password=hunter2hunter2{junk}word{junk}")
+    assert ("assigned secret", "hunter2!!hunter2") in found("password=hunter2!!hunter2 now")
+
+
 def test_long_runs_take_linear_time():
     took = time.process_time()
-    for text in ("a1" * 250_000, "-----BEGIN PRIVATE KEY-----\n" * 10_000, "sk-" * 100_000, "x://" * 100_000, "https://" + "a1/" * 100_000, noise(500_000) + "=a"):
+    for text in ("a1" * 250_000, "-----BEGIN PRIVATE KEY-----\n" * 10_000, "sk-" * 100_000, "x://" * 100_000, "https://" + "a1/" * 100_000, noise(500_000) + "=a", "password=hunter2hunter2 " * 20_000):
         S.findings(text)
     assert time.process_time() - took < 20
