@@ -1,16 +1,19 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import CLASHING, LONG, ROWS, empty, table, ugly
+from helpers import words as plain_words
 
 from codeloom.llm import toxicity as T
-from codeloom.llm.kernels import words
+from codeloom.llm.kernels import mix, words
 
 
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    return T.train(docs.filter("doc_id % 3 <> 0"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), per_class=400)
+    return T.train(docs.filter("doc_id % 3 <> 0"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
 
 
 def test_gradients_are_those_of_differences():
@@ -32,6 +35,57 @@ def test_gradients_are_those_of_differences():
             assert abs(slope - g[name][k]) < 2e-3 * max(1, abs(slope)), name
 
 
+def plain_windows(text, p, window, stride):
+    """Probability of every window of a text, word by word and unit by unit, from the parameters alone."""
+    h, d = T.HIDDEN, T.WORD_DIM
+    vectors = []
+    for word in plain_words(text):
+        raw = word.encode()
+        value = int(words(pa.array([word])).hash[0])
+        own = value & (T.WORD_BUCKETS - 1) if value in p["known"] else T.WORD_BUCKETS
+        framed = [1, *raw, 1]
+        chars = np.zeros(T.CHAR_DIM)
+        for k in range(len(raw)):
+            code = (framed[k] * 65599 * 65599 + framed[k + 1] * 65599 + framed[k + 2]) % 2**64
+            chars += p["chars"][int(mix(np.array([code], np.uint64))[0]) & (T.CHAR_BUCKETS - 1)]
+        vectors.append(np.r_[p["words"][own][:d], chars / len(raw)].astype(float))
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(seq, k):
+        state, out = [0.0] * h, []
+        for v in seq:
+            gate = [sum(v[i] * p[f"x{k}"][i, j] for i in range(len(v))) + p[f"c{k}"][j] for j in range(3 * h)]
+            rec = [sum(p[f"u{k}"][j, i] * state[i] for i in range(h)) for j in range(3 * h)]
+            r = [sigma(gate[j] + rec[j]) for j in range(h)]
+            z = [sigma(gate[h + j] + rec[h + j]) for j in range(h)]
+            new = [math.tanh(gate[2 * h + j] + r[j] * rec[2 * h + j]) for j in range(h)]
+            state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(h)]
+            out.append(state)
+        return out
+
+    found, start = [], 0
+    while vectors:
+        seq = vectors[start : start + window]
+        both = [f + b for f, b in zip(states(seq, "f"), states(seq[::-1], "b")[::-1])]
+        weight = [math.exp(sum(a * x for a, x in zip(p["attend"], s))) for s in both]
+        pooled = [sum(w * s[j] for w, s in zip(weight, both)) / sum(weight) for j in range(2 * h)]
+        found.append((start, sigma(sum(o * x for o, x in zip(p["out"], pooled)) + p["bias"][0])))
+        if start + window >= len(vectors):
+            return found
+        start += stride
+    return found
+
+
+def test_scores_against_plain_loops(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(12).collect()
+    texts = [t for _, t in ROWS if t != LONG] + [" ".join((r.text or "").split()[:150]) for r in docs]
+    doc, at, prob = T.window_scores(model, pa.array(texts), T.WINDOW, T.STRIDE)
+    for k, text in enumerate(texts):
+        want = plain_windows(text or "", model, T.WINDOW, T.STRIDE)
+        assert [s for s, _ in want] == at[doc == k].tolist()
+        assert np.allclose([v for _, v in want], prob[doc == k], atol=1e-4)
+
+
 @pytest.mark.parametrize("n", [1, 5, 31, 32, 33, 48, 49, 100, 513])
 def test_windows_overlap_and_cover_the_text(n):
     w = words(pa.array([" ".join("ab" for _ in range(n))]))
