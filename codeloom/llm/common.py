@@ -52,9 +52,9 @@ class IdFilter:
                 bit = np.concatenate([self._bit(b.column("id").to_numpy(), k) for k in range(self.HASHES)])
                 yield pa.RecordBatch.from_arrays([pa.array(bit >> 6, pa.int32()), pa.array(np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-        found = ids.select(F.col(column).alias("id")).mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        found = ids.select(F.col(column).alias("id")).mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(self.BITS // 64, np.uint64)
-        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
         self.sent = ids.sparkSession.sparkContext.broadcast(words)
 
     @classmethod

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import IdFilter, cut, docs_only, fresh, parts, table
 from .components import components
-from .kernels import doc_sets, fold, slice_batches, slices, words
+from .kernels import doc_sets, fold, mix, slice_batches, slices, words
 
 N = 3
 THRESHOLD = 0.5
@@ -58,7 +58,8 @@ KNOWN_LISTS = 100_000
 SPREAD_TEXTS, SPREAD_SHARE = 32, 0.02
 #: Sets of a list, and n-grams of a component, in one chunk; groups hold pairs of chunks.
 CHUNK, CHUNK_GRAMS = 2048, 4_000_000
-_SPREAD = 1 << 62
+#: Entries that one task sorts, and bits of an n-gram's hash; tables hold them in six bytes each.
+TASK_ENTRIES, BITS = 2_000_000, 48
 
 
 def occurrences(size_a: np.ndarray, size_b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -91,74 +92,124 @@ def _candidate(a, b, skip_a, skip_b, met, threshold: float) -> np.ndarray:
     return fits & (met >= np.maximum(1, occurrences(a, b, threshold) - np.maximum(skip_a, skip_b)))
 
 
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Six bytes for each hash."""
+    return np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _blobs(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """One binary for each count of hashes."""
+    data, at = _packed(values), np.r_[0, np.cumsum(count * 6)]
+    return pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all binaries of a column, and how many each has."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return _unpacked(raw), np.diff(at) // 6
+
+
 def sketches(df: DataFrame, n: int = N, k: int = SKETCH) -> DataFrame:
-    """doc_id, set_id, size and the k least hashes of each document with an id and a word; hashes that much of a batch shares carry _SPREAD."""
+    """doc_id, set_id, size and the k least hashes of each document with an id and a word."""
 
     def run(batches):
         for b in slice_batches(batches):
-            values, first = doc_sets(words(b.column("text")), n)
+            values, first = doc_sets(words(b.column("text")), n, BITS)
             size = np.diff(first)
             ok = np.flatnonzero(size > 0)
             take = np.minimum(size[ok], k)
-            least = values[slices(first[ok], first[ok] + take)].astype(np.int64)
-            gram, texts = np.unique(least, return_counts=True)
-            much = gram[texts >= max(SPREAD_TEXTS, SPREAD_SHARE * len(ok))]
-            if len(much):
-                least[np.isin(least, much)] |= _SPREAD
             sets = fold(values, first)[ok].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(ok)), pa.array(sets), pa.array(size[ok], pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(least))],
-                ["doc_id", "set_id", "size", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ok)), pa.array(sets), pa.array(size[ok], pa.int32()), _blobs(values[slices(first[ok], first[ok] + take)], take)], ["doc_id", "set_id", "size", "sketch"])
 
-    return docs_only(df).filter("doc_id is not null").mapInArrow(run, "doc_id long, set_id long, size int, sketch array<long>")
+    return docs_only(df).filter("doc_id is not null").mapInArrow(run, "doc_id long, set_id long, size int, sketch binary")
 
 
 def _met_lists(docs: DataFrame) -> DataFrame:
-    """gram, set_id and size of the entries of lists that hold two sets or more.
+    """gram and set_id of the entries of lists that hold two sets or more.
 
-    Entries are sorted by list, then set, and pass through with one row held back.
-    Spread ones are let through, as their lists lie in many partitions.
+    Each batch sends every partition one packed row: the entries of its lists, and the
+    sets they name.  N-grams that many of a batch's sets hold are spread over all
+    partitions; they are in two sets at least, so nothing needs to be counted.  The
+    number of partitions follows from that of the entries.
     """
-    entry = docs.select(F.explode("sketch").alias("gram"), "set_id", "size")
-    spread = entry.select((F.col("gram") >= _SPREAD).alias("spread"), F.col("gram").bitwiseAND(F.lit(_SPREAD - 1)).alias("gram"), "set_id", "size")
-    n = parts(docs.sparkSession)
-    home = F.when(F.col("spread"), F.pmod(F.xxhash64("gram", "set_id"), F.lit(n))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(n))).cast("int")
+    total = docs.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0
+    n = max(parts(docs.sparkSession) // 2, -(-total // (6 * TASK_ENTRIES)), 1)
 
-    def run(batches):
-        held, seen = None, False  # the last row, and whether its list had others before it
+    def send(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            gram, sets = t.column("gram").to_numpy(), t.column("set_id").to_numpy()
-            own = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (sets[1:] != sets[:-1])])
-            # of equal rows one stays, spread if the last is: false sorts first
-            last = np.r_[own[1:] - 1, len(gram) - 1]
-            t, gram = t.take(pa.array(last)), gram[last]
-            same = gram[1:] == gram[:-1]
-            before, after = np.r_[seen, same], np.r_[same, False]
-            keep = before | after | t.column("spread").to_numpy(zero_copy_only=False)
-            keep[-1] = False
-            held, seen = t.slice(len(gram) - 1).to_batches()[0], bool(before[-1])
-            yield from t.filter(pa.array(keep)).select(["gram", "set_id", "size"]).to_batches()
-        if held is not None and (seen or held.column("spread")[0].as_py()):
-            yield held.select(["gram", "set_id", "size"])
-
-    return spread.repartitionById(n, home).sortWithinPartitions("gram", "set_id", "spread").mapInArrow(run, "gram long, set_id long, size int")
+            set_id, at = np.unique(b.column("set_id").to_numpy(), return_index=True)
+            gram, count = _hashes(b.column("sketch").take(pa.array(at)))
+            owner = np.repeat(np.arange(len(at)), count)
+            _, inverse, sets = np.unique(gram, return_inverse=True, return_counts=True)
+            much = (sets >= max(SPREAD_TEXTS, SPREAD_SHARE * len(at)))[inverse]
+            to = mix(np.where(much, gram ^ set_id[owner].view(np.uint64), gram)) % np.uint64(n)
+            to = to.astype(np.int64) * 2 + much
+            order = np.lexsort((owner, to))
+            to, gram, owner = to[order], gram[order], owner[order]
+            begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+            new = np.r_[True, (owner[1:] != owner[:-1]) | (to[1:] != to[:-1])] if len(to) else np.zeros(0, bool)
+            named = np.cumsum(new) - 1
+            local = named - np.repeat(named[begin], np.diff(np.r_[begin, len(to)]))
+            entries = np.diff(np.r_[begin, len(to)])
+            own = np.add.reduceat(new, begin) if len(begin) else begin
+            cuts = lambda count, width: pa.py_buffer(np.r_[0, np.cumsum(count * width)].astype(np.int32))
+            binary = lambda data, count, width: pa.Array.from_buffers(pa.binary(), len(begin), [None, cuts(count, width), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[begin] // 2, pa.int32()), pa.array(to[begin] % 2 == 1), _blobs(gram, entries), binary(local.astype("<u2"), entries, 2), binary(set_id[owner[new]].astype("<i8"), own, 8)],
+                ["to", "spread", "grams", "places", "sets"],
+            )
+
+    def read(batches):
+        grams, sets, spreads = [], [], []
+        for b in batches:
+            for k in range(b.num_rows):
+                own = np.frombuffer(b.column("sets")[k].as_buffer(), "<i8")
+                grams.append(_unpacked(np.frombuffer(b.column("grams")[k].as_buffer(), np.uint8)))
+                sets.append(own[np.frombuffer(b.column("places")[k].as_buffer(), "<u2")])
+                spreads.append(np.full(len(grams[-1]), b.column("spread")[k].as_py()))
+        if not grams:
+            return
+        gram, set_id, spread = np.concatenate(grams), np.concatenate(sets), np.concatenate(spreads)
+        order = np.lexsort((spread, set_id, gram))
+        gram, set_id, spread = gram[order], set_id[order], spread[order]
+        # of equal entries the last stays, which is spread if any is
+        last = np.r_[(gram[1:] != gram[:-1]) | (set_id[1:] != set_id[:-1]), True]
+        gram, set_id, spread = gram[last], set_id[last], spread[last]
+        same = gram[1:] == gram[:-1]
+        keep = np.r_[False, same] | np.r_[same, False] | spread
+        table = pa.table({"gram": pa.array(gram[keep].astype(np.int64)), "set_id": pa.array(set_id[keep])})
+        yield from table.to_batches(max_chunksize=1 << 16)
+
+    def sliced(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 15):  # places are told in two bytes
+                yield b.slice(at, 1 << 15)
+
+    sent = docs.select("set_id", "sketch").mapInArrow(lambda batches: send(sliced(batches)), "to int, spread boolean, grams binary, places binary, sets binary")
+    return sent.repartitionById(n, "to").mapInArrow(read, "gram long, set_id long")
 
 
 def _searched(docs: DataFrame, threshold: float) -> DataFrame:
     """set_id, size and grams, the lists it meets others on, of the sets that meet others on as many lists as their least T."""
-    sets = _met_lists(docs).groupBy("set_id").agg(F.first("size").alias("size"), F.collect_set("gram").alias("grams"))
+    size = docs.groupBy("set_id").agg(F.first("size").alias("size"))
+    sets = _met_lists(docs).repartition("set_id").groupBy("set_id").agg(F.collect_set("gram").alias("grams"))
     need = F.greatest(F.lit(1), F.least(F.ceil(F.col("size") * threshold - 1e-9), F.lit(int(np.floor(SKETCH * threshold - SLACK)))))
-    return cut(sets.filter(F.size("grams") >= need))
+    return cut(sets.join(size, "set_id").filter(F.size("grams") >= need))
 
 
 def _known_lists(sets: DataFrame):
     """The KNOWN_LISTS longest lists and their lengths, sent to all tasks."""
-    known = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(KNOWN_LISTS).toPandas().sort_values("gram")
-    return sets.sparkSession.sparkContext.broadcast((known["gram"].to_numpy(np.int64), known["n"].to_numpy(np.int64)))
+    known = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(KNOWN_LISTS).toArrow().sort_by("gram")
+    return sets.sparkSession.sparkContext.broadcast((known["gram"].to_numpy(), known["n"].to_numpy()))
 
 
 def _merged_lists(sets: DataFrame, known, threshold: float) -> DataFrame:
@@ -353,11 +404,11 @@ def _blocks(df: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFra
 
     def full(batches):
         for b in slice_batches(batches):
-            values, first = doc_sets(words(b.column("text")), n)
+            values, first = doc_sets(words(b.column("text")), n, BITS)
             sid = fold(values, first).view(np.int64)
             keep = (np.diff(first) > 0) & needed.maybe(b.column("doc_id").to_numpy())
             at = np.flatnonzero(keep)
-            blob = pa.array([values[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())
+            blob = _blobs(values[slices(first[at], first[at + 1])], first[at + 1] - first[at])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(sid[at]), blob], ["doc_id", "node", "grams"])
 
     blobs = docs_only(df).filter("doc_id is not null").mapInArrow(full, "doc_id long, node long, grams binary")
@@ -380,7 +431,7 @@ def _search(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.n
     """Rows of a block's sets, by size, their sizes, and the pairs found among them as places in these, with their overlap."""
     _, at = np.unique(t.column("node").to_numpy(), return_index=True)
     column = t.column("grams").combine_chunks()
-    grams = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
+    grams = [_unpacked(np.frombuffer(column[int(i)].as_buffer(), np.uint8)) for i in at]
     order = np.argsort([len(g) for g in grams], kind="stable")
     size = np.array([len(grams[i]) for i in order])
     rows = at[order]
