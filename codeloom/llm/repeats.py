@@ -12,7 +12,11 @@ passage whose anchor occurs once in the corpus is unique.  That test is exact.
 Documents of equal words are sorted once; their copies are repeated as a whole.
 
 A sort partitions by a range of the ranks, so a new rank, partition and place in it,
-keeps the order of the suffixes and needs no global numbering.
+keeps the order of the suffixes and needs no global numbering.  Of a pair that more
+than HOT rows of one batch have, two go to its own partition, to be told from unique
+ones and to tell others, and the rest, which repeat for certain, are spread over all
+partitions; as those can't know its place, the rank of such a pair is a hash, below all
+others.  So a passage that a third of the corpus shares loads no single task.
 
 Defined results
 - null, empty and short texts (under LEAST words): no passages;
@@ -37,7 +41,12 @@ from .kernels import Words, mix, ngrams, slice_batches, slices, words
 LEAST = 50
 #: Words in a first rank.
 SYMBOL = 13
+#: A pair of ranks is spread by a batch in which it has more rows than this.
+HOT = 16
 _LOW = np.uint64((1 << 20) - 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: hot: 0, or 1 for the rows of a hot pair that go to its own partition, 2 for those that are spread.
+_PAIRS = "uid long, pos int, r1 long, r2 long, hot byte"
 
 
 def _text_hash(w: Words) -> np.ndarray:
@@ -116,39 +125,64 @@ def _first_pairs(docs: DataFrame, least: int, symbol: int, offset: int) -> DataF
             np.add.at(edge, start + least - symbol - offset + 1, -1)
             pos = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
             doc = np.searchsorted(w.first, pos, "right") - 1
-            yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(doc)), pa.array(pos - w.first[doc], pa.int32()), pa.array(h[pos].view(np.int64)), pa.array(h[pos + offset].view(np.int64))], ["uid", "pos", "r1", "r2"])
+            yield _pair_rows(b.column("uid").take(pa.array(doc)), pos - w.first[doc], h[pos].view(np.int64), h[pos + offset].view(np.int64), HOT)
 
-    return docs.mapInArrow(run, "uid long, pos int, r1 long, r2 long")
+    return docs.mapInArrow(run, _PAIRS)
+
+
+def _pair_rows(uid: pa.Array, pos: np.ndarray, r1: np.ndarray, r2: np.ndarray, most: int) -> pa.RecordBatch:
+    """Rows of _PAIRS; a pair with more than most of them is hot."""
+    key = _hashed(r1, r2)
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.r_[True, key[order[1:]] != key[order[:-1]]]) if len(order) else order
+    size = np.diff(np.r_[edge, len(order)])
+    hot = np.zeros(len(order), np.int8)
+    hot[order] = np.where(np.repeat(size > most, size), np.where(np.arange(len(order)) - np.repeat(edge, size) < 2, 1, 2), 0)
+    return pa.RecordBatch.from_arrays([uid, pa.array(pos, pa.int32()), pa.array(r1), pa.array(r2), pa.array(hot)], ["uid", "pos", "r1", "r2", "hot"])
+
+
+def _hashed(r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+    """The rank of hot pairs, negative."""
+    return (mix(mix(r1.view(np.uint64)) * _STEP + r2.view(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
 
 
 def _rerank(pairs: DataFrame, part) -> DataFrame:
-    """uid, pos and rank of the positions whose pair occurs again."""
+    """uid, pos and rank of the positions whose pair occurs again; one row is held back, however many are equal.
+
+    part gives the partition of a pair's own; hot rows come first among those of their pair there.
+    """
     n = parts(pairs.sparkSession) * 2
-    order = pairs.repartitionById(n, part(n)).sortWithinPartitions("r1", "r2")
+    to = F.when(F.col("hot") == 2, F.pmod(F.xxhash64("uid", "pos"), F.lit(n)).cast("int")).otherwise(part(n))
+    order = pairs.repartitionById(n, to).sortWithinPartitions("r1", "r2", F.desc("hot"))
+    names = ("uid", "pos", "r1", "r2", "hot")
 
     def run(batches):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        rest, rank = None, 0
+        held, seen, group, hashed = None, False, -1, False  # the last row, whether equal ones were before it, its pair's place, and whether that is hot
         for b in batches:
             if not b.num_rows:
                 continue
-            t = {k: b.column(k).to_numpy() for k in ("uid", "pos", "r1", "r2")}
-            if rest is not None:
-                t = {k: np.concatenate([rest[k], t[k]]) for k in t}
-            edge = np.flatnonzero(np.r_[True, (t["r1"][1:] != t["r1"][:-1]) | (t["r2"][1:] != t["r2"][:-1])])
-            rest = {k: v[edge[-1] :] for k, v in t.items()}
-            yield emit({k: v[: edge[-1]] for k, v in t.items()}, edge[:-1], base + rank)
-            rank += len(edge) - 1
-        if rest is not None:
-            yield emit(rest, np.zeros(1, np.int64), base + rank)
-
-    def emit(t, edge, base):
-        size = np.diff(np.r_[edge, len(t["uid"])])
-        group = np.repeat(np.arange(len(edge)), size)
-        ok = (size > 1)[group] if len(edge) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(t["uid"][ok]), pa.array(t["pos"][ok], pa.int32()), pa.array(base + group[ok], pa.int64())], ["uid", "pos", "rank"])
+            t = {k: b.column(k).to_numpy() for k in names}
+            if held is not None:
+                t = {k: np.concatenate([held[k], t[k]]) for k in names}
+            same = (t["r1"][1:] == t["r1"][:-1]) & (t["r2"][1:] == t["r2"][:-1])
+            edge = np.flatnonzero(np.r_[True, ~same])
+            size = np.diff(np.r_[edge, len(t["uid"])])
+            own = np.arange(len(edge)) + (group if held is not None else group + 1)
+            hot = t["hot"][edge] > 0
+            hot[0] |= held is not None and hashed
+            before = np.r_[seen, same]
+            keep = before | np.r_[same, False] | (t["hot"] == 2)
+            rank = np.where(np.repeat(hot, size), _hashed(t["r1"], t["r2"]), base + np.repeat(own, size))
+            held, seen, group, hashed, last = {k: v[-1:] for k, v in t.items()}, bool(before[-1]), int(own[-1]), bool(hot[-1]), rank[-1:]
+            yield emit({k: v[:-1][keep[:-1]] for k, v in t.items()}, rank[:-1][keep[:-1]])
+        if held is not None and (seen or held["hot"][0] == 2):
+            yield emit(held, last)
+
+    def emit(t, rank):
+        return pa.RecordBatch.from_arrays([pa.array(t["uid"]), pa.array(t["pos"], pa.int32()), pa.array(rank)], ["uid", "pos", "rank"])
 
     return order.mapInArrow(run, "uid long, pos int, rank long")
 
@@ -179,7 +213,7 @@ def _pairs(offset: int):
         code = np.cumsum(np.r_[0, uid[1:] != uid[:-1]]).astype(np.int64) << 32 | pos
         to = np.minimum(np.searchsorted(code, code + offset), len(code) - 1)
         ok = code[to] == code + offset
-        return pa.RecordBatch.from_arrays([pa.array(uid[ok]), pa.array(pos[ok], pa.int32()), pa.array(rank[ok]), pa.array(rank[to[ok]])], ["uid", "pos", "r1", "r2"])
+        return _pair_rows(pa.array(uid[ok]), pos[ok], rank[ok], rank[to[ok]], HOT)
 
     return work
 
@@ -220,8 +254,8 @@ def repeated(df: DataFrame, least: int = LEAST, symbol: int = SYMBOL) -> DataFra
         if length >= least:
             break
         offset = min(length, least - length)
-        part = lambda n: F.shiftright("r1", 33).cast("int")
-        pairs = _by_document(ranks, _pairs(offset), "uid long, pos int, r1 long, r2 long")
+        part = lambda n: F.when(F.col("r1") < 0, F.pmod(F.xxhash64("r1"), F.lit(n))).otherwise(F.shiftright("r1", 33)).cast("int")
+        pairs = _by_document(ranks, _pairs(offset), _PAIRS)
     found = _by_document(ranks, _intervals(least), "uid long, first_word int, end_word int")
 
     copied = texts.filter("copies > 1").select("text_id")

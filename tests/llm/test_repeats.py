@@ -73,3 +73,14 @@ def test_defined_results(spark):
 def test_a_document_repeated_as_a_row_is_one_document(spark):
     assert got(table(spark, [(1, SAME), (1, SAME)]), 10, 3) == set()
     assert got(table(spark, [(1, SAME), (1, SAME + " more")]), 10, 3) == brute([(1, SAME), (1, SAME + " more")], 10)
+
+
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_hot_passages_are_spread_and_stay_whole(spark, monkeypatch, hot):
+    """A passage that most documents share, with rows beyond the limit in every batch."""
+    r = random.Random(8)
+    shared = [f"s{k}" for k in range(30)]
+    rows = [(i, " ".join([f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 15))] + (shared if i % 3 else []) + [f"v{r.randrange(10**6)}" for _ in range(20)])) for i in range(60)]
+    monkeypatch.setattr(R, "HOT", hot)
+    want = brute(rows, 20)
+    assert got(table(spark, rows), 20, 5) == want and len(want) == 40
