@@ -183,7 +183,7 @@ def slices(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def slice_batches(batches, rows: int = 4096, size: int = 1 << 21):
+def slice_batches(batches, rows: int = 4096, size: int = 1 << 20):
     """Record batches cut to at most ``rows`` rows and, beyond one row, about ``size`` bytes of text."""
     for b in batches:
         if b.num_rows == 0:

@@ -57,7 +57,7 @@ KNOWN_LISTS = 100_000
 #: An n-gram is spread over the partitions by a batch in which this many texts, and this share of them, hold it.
 SPREAD_TEXTS, SPREAD_SHARE = 32, 0.02
 #: Sets of a list, and n-grams of a component, in one chunk; groups hold pairs of chunks.
-CHUNK, CHUNK_GRAMS = 2048, 4_000_000
+CHUNK, CHUNK_GRAMS = 2048, 2_000_000
 #: Entries that one task sorts, and bits of an n-gram's hash; tables hold them in six bytes each.
 TASK_ENTRIES, BITS = 2_000_000, 48
 
@@ -278,7 +278,7 @@ def _across(own: DataFrame, threshold: float) -> DataFrame:
         count = np.diff(np.r_[edge, len(t["gram"])])
         end = np.repeat(edge + count, count)
         at = np.arange(len(end))
-        step = max(1, 4_000_000 // max(1, int(count.max())))
+        step = max(1, 500_000 // max(1, int(count.max())))
         for s in range(0, len(at), step):
             left, right = np.repeat(at[s : s + step], end[s : s + step] - at[s : s + step] - 1), slices(at[s : s + step] + 1, end[s : s + step])
             low, high = np.minimum(t["size"][left], t["size"][right]), np.maximum(t["size"][left], t["size"][right])
