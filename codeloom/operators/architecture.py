@@ -19,7 +19,7 @@ def export_layers(exports: DataFrame) -> DataFrame:
     return exports.groupBy("path").agg((t > 2 * (n - t)).alias("types")).filter("types").select("path", F.lit("shared").alias("layer"))
 
 
-def classify(graph: CodeGraph, exports: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
+def classify(graph: CodeGraph, exports: DataFrame | None = None) -> DataFrame:
     """id, layer, method, confidence of every node.
 
     By path first, then by exports.  The rest are taken in the order of their ids:
@@ -42,17 +42,13 @@ def classify(graph: CodeGraph, exports: DataFrame | None = None, most_rounds: in
     # dependencies that count: settled from the first pass, or nodes that come earlier
     early = edges.join(first.filter("layer is not null").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").union(edges.filter("dst < src").select("src", "dst")).distinct()
     early = cut(early)
-    for _ in range(most_rounds):
-        if not waiting.limit(1).count():
-            break
+    while waiting.limit(1).count():  # the least id left is always ready
         blocked = early.join(waiting.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
         ready = waiting.join(blocked, "id", "left_anti")
         best = early.join(settled.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.max("k").alias("best"))
         new = ready.join(best, "id", "left").select("id", F.when(F.col("best").isNull(), LAYERS.index("domain")).otherwise(F.least(F.col("best") + 1, F.lit(len(LAYERS) - 1))).alias("k"))
         new = cut(new)
         settled, waiting = cut(settled.union(new)), cut(waiting.join(new, "id", "left_anti"))
-    else:
-        raise RuntimeError(f"layers did not settle in {most_rounds} rounds")
     names = F.array(*[F.lit(x) for x in LAYERS])
     out = settled.join(first.select("id", "method"), "id")
     method = F.coalesce("method", F.lit("imports"))

@@ -67,6 +67,11 @@ def coupling_summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("files"), mean("i").alias("avg_instability"), mean("a").alias("avg_abstractness"), mean("d").alias("avg_distance"), F.round(F.coalesce(F.try_divide(F.count_if(F.col("zone") == "main"), F.count(F.lit(1))), F.lit(0.0)), 6).alias("health_score"))
 
 
+def worst(metrics: DataFrame, k: int = 20) -> DataFrame:
+    """The k modules that are farthest from the main sequence."""
+    return metrics.orderBy(F.desc("d"), "id").limit(k)
+
+
 def critical_modules(metrics: DataFrame, ca_threshold: int = 5, d_threshold: float = 0.4) -> DataFrame:
     """id, score, reasons of modules that are risky to change, the riskiest first."""
     ca, i = F.col("ca"), F.col("i")

@@ -58,10 +58,10 @@ def bridges(graph: CodeGraph, betweenness: DataFrame, scores: DataFrame, thresho
     return df.orderBy(F.desc("betweenness"), "id").limit(k).select("id", "betweenness", "pagerank", bridge_risk(bc).alias("risk"), F.when(text == "", "bridge file").otherwise(text).alias("description"))
 
 
-def hidden_bridges(betweenness: DataFrame, scores: DataFrame, ratio: float = 2.0) -> DataFrame:
+def hidden_bridges(betweenness: DataFrame, scores: DataFrame, ratio: float = 2.0, least: float = 0.01) -> DataFrame:
     """id, betweenness, pagerank, ratio, risk of files that paths cross far more often than their score tells; a score of 0 tells nothing."""
     bc = F.col("betweenness")
-    df = betweenness.filter(bc > 0.01).join(scores.select("id", F.col("score").alias("pagerank")), "id", "left").fillna(UNKNOWN_SCORE, ["pagerank"])
+    df = betweenness.filter(bc > least).join(scores.select("id", F.col("score").alias("pagerank")), "id", "left").fillna(UNKNOWN_SCORE, ["pagerank"])
     df = df.withColumn("ratio", bc / F.nullif("pagerank", F.lit(0.0))).filter(F.col("ratio") > ratio)
     return df.select("id", "betweenness", "pagerank", "ratio", hidden_risk(bc).alias("risk")).orderBy(F.desc(bc / F.greatest("pagerank", F.lit(UNKNOWN_SCORE))), "id")
 

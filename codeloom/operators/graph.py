@@ -2,9 +2,9 @@
 
 Degree, density, neighbour and set operators are plain relational plans.  The
 fixpoints (reachability, PageRank, components, layers, betweenness) have two ways:
-graphs of at most SMALL_EDGES edges are fetched once and solved in numpy on the
-driver, larger ones run as loops of joins whose state is cut to the shared folder.
-Both give the same result; tests hold one against the other.
+graphs of at most SMALL_EDGES edges and as many nodes are fetched once and solved in
+numpy on the driver, larger ones run as loops of joins whose state is cut to the shared
+folder.  Both give the same result; tests and queries hold one against the other.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -90,7 +90,7 @@ class CodeGraph:
     # fixpoints
 
     def is_small(self) -> bool:
-        return self.edges.limit(self.small_edges + 1).count() <= self.small_edges
+        return all(t.limit(self.small_edges + 1).count() <= self.small_edges for t in (self.edges, self.nodes))
 
     def _arrays(self) -> tuple[list, np.ndarray, np.ndarray]:
         ids = sorted(r for r in self.nodes.toPandas()["id"])
@@ -261,8 +261,6 @@ class CodeGraph:
         n = len(ids)
         if n <= 2:
             return self._table(ids, {"betweenness": np.zeros(n)}, "betweenness double")
-        if len(s) * n <= 5_000_000:
-            return self._table(ids, {"betweenness": solvers.betweenness(n, s, d, range(n))}, "betweenness double")
         sent = self.spark.sparkContext.broadcast((n, s, d))
 
         def run(batches):
@@ -308,20 +306,28 @@ def top_scores(scores: DataFrame, k: int = 10, column: str = "score") -> DataFra
     return scores.orderBy(F.desc(column), "id").limit(k)
 
 
-def percentile(scores: DataFrame, column: Column | str = "score") -> DataFrame:
-    """id, percentile: share in percent of scores strictly below each.
+def _running(scores: DataFrame, c: Column) -> DataFrame:
+    """value, n, below and all: how many rows have each value, a smaller one, any.
 
-    Counts are cumulated over distinct scores, so a global order is needed of those only.
+    Values are sorted by ranges; the rows of each range are counted, and only these
+    counts, one a partition, are cumulated in one place.
     """
-    c = F.col(column) if isinstance(column, str) else column
-    from pyspark.sql import Window
-
     by = scores.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    running = by.select("value", (F.sum("n").over(Window.orderBy("value")) - F.col("n")).alias("below"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    return scores.select("id", c.alias("value")).join(running, "value").select("id", F.round(100 * F.col("below") / F.col("all"), 6).alias("percentile"))
+    by = cut(by.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sizes = by.groupBy("part").agg(F.sum("n").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value")) - F.col("n")
+    return by.withColumn("inside", inside).join(F.broadcast(before), "part").select("value", "n", (F.col("before") + F.col("inside")).alias("below"), "all")  # one row a partition
+
+
+def percentile(scores: DataFrame, column: Column | str = "score") -> DataFrame:
+    """id, percentile: share in percent of scores strictly below each."""
+    c = F.col(column) if isinstance(column, str) else column
+    return scores.select("id", c.alias("value")).join(_running(scores, c), "value").select("id", F.round(100 * F.col("below") / F.col("all"), 6).alias("percentile"))
 
 
 def score_stats(scores: DataFrame, column: str = "score") -> DataFrame:
     """Largest, least, mean and upper median of a score."""
-    middle = F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))
-    return scores.agg(F.round(F.max(column), 6).alias("max_score"), F.round(F.min(column), 6).alias("min_score"), F.round(F.avg(column), 6).alias("mean_score"), F.round(middle, 6).alias("median_score"))
+    middle = F.floor(F.col("all") / 2)
+    median = F.max(F.when((F.col("below") <= middle) & (middle < F.col("below") + F.col("n")), F.col("value")))
+    return _running(scores.filter(F.col(column).isNotNull()), F.col(column)).agg(F.round(F.max("value"), 6).alias("max_score"), F.round(F.min("value"), 6).alias("min_score"), F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("mean_score"), F.round(median, 6).alias("median_score"))

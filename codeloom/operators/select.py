@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,15 +116,25 @@ def optimize(prepared: DataFrame, budget: int, strategy: str = "greedy", diversi
 def within_budget(files: DataFrame, budget: int, tokens_per_line: float = 4.0) -> DataFrame:
     """Of files(id, score, size_bytes) by score those that still fit, others are passed over; id, tokens, used.
 
-    A fold over one ordered array, as each choice depends on those before.
+    Each choice depends on those before, so the rows that can fit at all pass one task
+    in order, sorted with spilling, and it keeps one number.
     """
     tokens = F.floor(F.coalesce(F.col("size_bytes"), F.lit(1000)) / 50 * tokens_per_line).cast("long")
-    rows = files.select(F.struct((-F.col("score")).alias("s"), "id", tokens.alias("tokens")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:string,tokens:bigint,used:bigint>>").alias("got"))
-
-    def step(acc, r):
-        used = acc["used"] + r["tokens"]
-        item = F.struct(r["id"].alias("id"), r["tokens"].alias("tokens"), used.alias("used"))
-        return F.when(used <= budget, F.struct(used.alias("used"), F.concat(acc["got"], F.array(item)).alias("got"))).otherwise(acc)
-
-    return rows.select(F.explode(F.aggregate("rows", start, step)["got"]).alias("g")).select("g.id", "g.tokens", "g.used")
+    rows = files.select("id", (-F.col("score")).alias("rank"), tokens.alias("tokens")).filter(F.col("tokens") <= budget)
+    kind = files.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        used = 0
+        for b in batches:
+            size, keep, total = b.column("tokens").to_numpy(), [], []
+            fits = np.flatnonzero(size <= budget - used)
+            while len(fits):
+                run_of = used + np.cumsum(size[fits])
+                n = int(np.searchsorted(run_of, budget, "right"))
+                keep += fits[:n].tolist()
+                total += run_of[:n].tolist()
+                used = total[-1] if total else used
+                fits = fits[n:][size[fits[n:]] <= budget - used]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep, pa.int64())), pa.array([int(size[k]) for k in keep], pa.int64()), pa.array(total, pa.int64())], ["id", "tokens", "used"])
+
+    return rows.repartition(1).sortWithinPartitions("rank", "id").mapInArrow(run, f"id {kind}, tokens long, used long")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sha16
-
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, state (added, removed, modified, unchanged) of two tables (path, hash)."""
@@ -16,9 +18,23 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def source_hash(files: DataFrame) -> DataFrame:
-    """One hash over all paths and hashes in path order; zeros for no files."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit(":"), x["hash"])), "|")
-    return files.filter("path is not null and hash is not null").agg(F.when(F.count(F.lit(1)) == 0, F.lit("0" * 16)).otherwise(sha16(joined)).alias("source_hash"))
+    """One hash over all paths and hashes in path order; zeros for no files.
+
+    A hash is sequential, so the rows pass one task, sorted with spilling, as a stream.
+    """
+
+    def run(batches):
+        found, any_ = hashlib.sha256(), False
+        for b in batches:
+            if b.num_rows:
+                joined = "|".join(pc.binary_join_element_wise(b.column("path"), b.column("hash"), ":").to_pylist())
+                found.update((("|" if any_ else "") + joined).encode())
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([found.hexdigest()[:16]])], ["source_hash"])
+
+    rows = files.select(F.col("path").cast("string").alias("path"), F.col("hash").cast("string").alias("hash")).filter("path is not null and hash is not null")
+    return rows.repartition(1).sortWithinPartitions("path", "hash").mapInArrow(run, "source_hash string").agg(F.coalesce(F.max("source_hash"), F.lit("0" * 16)).alias("source_hash"))
 
 
 def staleness(known: DataFrame | None, current: DataFrame) -> DataFrame:

@@ -96,29 +96,38 @@ def layers(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return level
 
 
-def betweenness(n: int, src: np.ndarray, dst: np.ndarray, sources: Iterable[int]) -> np.ndarray:
-    """Dependency sums of the given sources over (n-1)(n-2), level by level."""
+def betweenness(n: int, src: np.ndarray, dst: np.ndarray, sources: Iterable[int], cells: int = 8_000_000) -> np.ndarray:
+    """Dependency sums of the given sources over (n-1)(n-2), level by level.
+
+    Sources go in blocks whose states, one for each source and node, fill at most
+    ``cells`` places; a step serves the whole block.
+    """
     first, to = adjacency(n, src, dst)
     total = np.zeros(n)
-    for s in sources:
-        dist = np.full(n, -1, np.int64)
-        paths = np.zeros(n)
-        dist[s], paths[s] = 0, 1.0
-        levels, front = [], np.array([s])
+    sources = np.fromiter(sources, np.int64)
+    block = max(1, cells // max(1, n))
+    for at in range(0, len(sources), block):
+        root = np.arange(len(sources[at : at + block])) * n + sources[at : at + block]
+        dist = np.full(len(root) * n, -1, np.int32)
+        paths = np.zeros(len(root) * n)
+        dist[root], paths[root] = 0, 1.0
+        levels, front = [], root
         while len(front):
-            count = first[front + 1] - first[front]
+            node = front % n
+            count = first[node + 1] - first[node]
             a = np.repeat(front, count)
-            b = to[np.concatenate([np.arange(first[x], first[x + 1]) for x in front])] if count.sum() else np.zeros(0, np.int64)
+            near = np.arange(len(a)) - np.repeat(np.cumsum(count) - count - first[node], count)
+            b = a - a % n + to[near]
             new = np.unique(b[dist[b] < 0])
-            dist[new] = dist[front[0]] + 1
-            on = dist[b] == dist[front[0]] + 1
+            dist[new] = len(levels) + 1
+            on = dist[b] == len(levels) + 1
             a, b = a[on], b[on]
             np.add.at(paths, b, paths[a])
             levels.append((a, b))
             front = new
-        share = np.zeros(n)
+        share = np.zeros(len(root) * n)
         for a, b in reversed(levels):
             np.add.at(share, a, paths[a] / paths[b] * (1 + share[b]))
-        share[s] = 0
-        total += share
+        share[root] = 0
+        total += share.reshape(len(root), n).sum(0)
     return total / max(1, (n - 1) * (n - 2))

@@ -28,7 +28,6 @@ LOCAL_BLOCKS = ("m_Children", "m_Transitions", "m_AnyStateTransitions", "m_Entry
 MAP_BLOCKS = ("m_AnimatorParameters", "m_AnimatorLayers", "m_Conditions", "m_Childs", "m_Events", "m_FloatCurves", "m_PositionCurves", "m_RotationCurves", "m_ScaleCurves", "m_PPtrCurves", "m_EditorCurves")
 COUNTED = ("m_Modifications", "m_SubMeshes", *MAP_BLOCKS[5:])
 CURVES = MAP_BLOCKS[5:]
-MOST_DEPTH = 1024
 
 _HEADER = re.compile(r"---\s+!u!(-?\d+)\s+&(-?\d+)(\s+stripped)?\s*$")
 _LINE = re.compile(r"(\s*)(-\s+)?(?:([A-Za-z_][A-Za-z0-9_ ]*):\s*(.*)|(\{.*))$")
@@ -251,11 +250,12 @@ def game_objects(docs: DataFrame) -> DataFrame:
     known = rows.select("asset", F.col("file_id").alias("up")).withColumn("known", F.lit(True))
     paths = rows.select("asset", "file_id", "name", F.col("parent_file_id").alias("up"), F.col("name").alias("path")).join(known, ["asset", "up"], "left")
     paths = cut(paths.select("asset", "file_id", F.when(F.col("known"), F.col("up")).alias("up"), "path"))
-    length = 1
-    while length < MOST_DEPTH and paths.filter("up is not null").limit(1).count():
+    open_, before = paths.filter("up is not null").count(), None
+    # a path of any depth has ancestors of all smaller ones, so if a round ends none, only circles are left
+    while open_ and open_ != before:
         above = paths.select("asset", F.col("file_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("prefix"))
         paths = cut(paths.join(above, ["asset", "up"], "left").select("asset", "file_id", F.col("next").alias("up"), F.concat(F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("/"))).otherwise(""), "path").alias("path")))
-        length *= 2
+        open_, before = paths.filter("up is not null").count(), open_
     return rows.join(paths.select("asset", "file_id", F.when(F.col("up").isNull(), F.col("path")).alias("whole")), ["asset", "file_id"]).withColumn("path", F.coalesce("whole", "name")).drop("whole")
 
 

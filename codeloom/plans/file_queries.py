@@ -74,22 +74,16 @@ def ignore_rules(spark, sf_dir):
     return df.filter(~ignored(F.col("path"), ["Library/", "*.csproj", "Packages/", "!Packages/s*"]))
 
 
-@query("""select item, external, is_test from (select url as item, starts_with(url, '@') as external, (contains(lower(url), 'tests/') or contains(lower(url), '/test/')) as is_test from pages) q""")
+@query("""with items as (select url as item from pages union all select '@pages/' || page_id from pages)
+select item, starts_with(item, '@') as external, (contains(lower(item), 'tests/') or contains(lower(item), '/test/')) as is_test from items""")
 def path_predicates(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select(u.alias("item"), classify.looks_external(u).alias("external"), classify.is_test_file(u).alias("is_test"))
+    """Addresses, and packages of a scope."""
+    p, u = table(spark, sf_dir, "pages"), F.col("item")
+    return p.select(F.explode(F.array("url", F.concat(F.lit("@pages/"), F.col("page_id").cast("string")))).alias("item")).select(u.alias("item"), classify.looks_external(u).alias("external"), classify.is_test_file(u).alias("is_test"))
 
 
-@query("select page_id, 'http___' || substr(translate(url, '/.- ()[]', '________'), strpos(url, '://') + 3) as node from pages where url like 'http:%'")
+@query("select page_id, translate(url, '/.- ()[]', '________') as node from pages")
 def node_ids(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter(F.col("url").startswith("http:"))
-    # ':' stays in ids, as it is no sign that diagram languages reject
-    return p.select("page_id", F.regexp_replace(paths.node_id(F.col("url")), "^http:__", "http___").alias("node"))
-
-
-@query()
-def page_node_ids(spark, sf_dir):
-    """The node of every page, as node_id gives it; node_ids holds the http ones alone, to which its SQL is fixed."""
     return table(spark, sf_dir, "pages").select("page_id", paths.node_id(F.col("url")).alias("node"))
 
 
@@ -130,43 +124,45 @@ def source_hash(spark, sf_dir):
     return snapshots.source_hash(G.tree(spark, sf_dir))
 
 
-_SNAPS = """a as (select cast(o_custkey as varchar) as path, cast(count(*) as varchar) as hash from orders where o_orderdate < timestamp '1996-01-01' and o_orderdate >= timestamp '1995-01-01' group by 1),
-b as (select cast(o_custkey as varchar) as path, cast(count(*) as varchar) as hash from orders where o_orderdate < timestamp '1997-01-01' and o_orderdate >= timestamp '1996-01-01' group by 1),
+_SNAPS = """a as (select cast(o_custkey as varchar) as path, cast(count(*) as varchar) as hash from orders where o_orderdate < timestamp '1995-07-01' group by 1),
+b as (select cast(o_custkey as varchar) as path, cast(count(*) as varchar) as hash from orders where o_orderdate >= timestamp '1995-07-01' group by 1),
 d as (select coalesce(a.path, b.path) as path, case when a.hash is null then 'added' when b.hash is null then 'removed' when a.hash = b.hash then 'unchanged' else 'modified' end as state from a full join b on a.path = b.path)"""
 
 
-def _year(spark, sf_dir, year):
-    o = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")))
+def _half(spark, sf_dir, late):
+    """Customers with the number of their orders before or from the middle of the period on."""
+    middle = F.lit("1995-07-01").cast("timestamp_ntz")
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= middle if late else F.col("o_orderdate") < middle)
     return o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.count(F.lit(1)).cast("string").alias("hash"))
 
 
 @query(f"with {_SNAPS} select path, state from d")
 def snapshot_diff(spark, sf_dir):
-    """Customers with the number of their orders as their hash, in two years."""
-    return snapshots.diff(_year(spark, sf_dir, 1995), _year(spark, sf_dir, 1996))
+    """Customers with the number of their orders as their hash, in both halves of the period."""
+    return snapshots.diff(_half(spark, sf_dir, False), _half(spark, sf_dir, True))
 
 
 @query(f"with {_SNAPS} select count(case when state <> 'unchanged' then 1 end) > 0 as is_stale, count(case when state = 'modified' then 1 end) as changed, count(case when state = 'added' then 1 end) as added, count(case when state = 'removed' then 1 end) as removed from d")
 def staleness(spark, sf_dir):
-    return snapshots.staleness(_year(spark, sf_dir, 1995), _year(spark, sf_dir, 1996))
+    return snapshots.staleness(_half(spark, sf_dir, False), _half(spark, sf_dir, True))
 
 
 @query(f"with {_SNAPS} select path, hash from b where (path, hash) not in (select (path, hash) from a)")
 def cache_misses(spark, sf_dir):
-    return snapshots.split_by_cache(_year(spark, sf_dir, 1996), _year(spark, sf_dir, 1995))[1]
+    return snapshots.split_by_cache(_half(spark, sf_dir, True), _half(spark, sf_dir, False))[1]
 
 
 @query(f"with {_SNAPS}, h as (select count(*) as n, count(case when exists (select 1 from a where a.path = b.path and a.hash = b.hash) then 1 end) as hits from b) select hits, n - hits as misses, coalesce(100.0 * hits / nullif(n, 0), 100.0)::double as hit_rate from h")
 def cache_hit_rate(spark, sf_dir):
-    return snapshots.hit_rate(_year(spark, sf_dir, 1996), _year(spark, sf_dir, 1995))
+    return snapshots.hit_rate(_half(spark, sf_dir, True), _half(spark, sf_dir, False))
 
 
-@query(f"""with {G.TREE}, o as (select {_NORMAL} as anchor, min(path) as old_location from files where lang = 'en' group by 1), n as (select {_NORMAL} as anchor, min(path) as new_location from files group by 1)
+@query(f"""with {G.TREE}, o as (select {_NORMAL} as anchor, min(path) as old_location from files group by 1), n as (select {_NORMAL} as anchor, min(lang || '/' || path) as new_location from files group by 1)
 select anchor, old_location, new_location from o join n using (anchor) where old_location <> new_location""")
 def anchor_moves(spark, sf_dir):
-    """Texts that English files hold, and where among all files they are first."""
+    """All files, moved into a directory of their language."""
     c = G.tree(spark, sf_dir).select("lang", F.col("path").alias("location"), text.sha16(text.collapse(F.col("text")).cast("binary")).alias("anchor"))
-    return snapshots.anchor_moves(c.filter("lang = 'en'"), c)
+    return snapshots.anchor_moves(c, c.withColumn("location", F.concat("lang", F.lit("/"), "location")))
 
 
 @query("select 'repeated chunk' as problem, cast(l_orderkey as varchar) || ':' || l_linenumber as subject from lineitem group by 2 having count(*) > 1 union all select 'dangling edge', cast(o_custkey as varchar) from (select distinct o_custkey from orders where o_custkey not in (select c_custkey from customer)) q")

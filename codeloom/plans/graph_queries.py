@@ -11,7 +11,8 @@ from ..sinks import diagrams
 from . import graphs as G
 from .registry import query, table
 
-START = "NATION_3"
+NATION = "NATION_3"
+KEY = 3
 PART = 7
 _R = "with recursive "
 
@@ -20,6 +21,9 @@ def r6(c):
     return F.round(c, 6)
 
 
+# exact halves of the last place are common among scores, so 1e-9 is added before they are rounded
+
+
 @query(f"""with {G.TRADE}, {G.DEGREES} select count(*) as node_count, cast(coalesce(sum(out_degree), 0) as bigint) as edge_count,
   round(coalesce(sum(out_degree) / nullif(count(*) * count(*), 0), 0), 6) as density, coalesce(max(in_degree), 0) as max_in_degree, coalesce(max(out_degree), 0) as max_out_degree,
   round(coalesce(avg(in_degree), 0), 6) as avg_in_degree, round(coalesce(avg(out_degree), 0), 6) as avg_out_degree,
@@ -43,15 +47,12 @@ def most_dependencies(spark, sf_dir):
     return G.follow(spark, sf_dir).top("out_degree")
 
 
-@query("""select 'c' || c_custkey as id from customer where c_custkey not in (select o_custkey from orders)
-union all select 'p' || p_partkey from part where p_partkey not in (select l_partkey from lineitem)""")
+@query("select 'd' || doc_id as id from documents where doc_id not in (select doc_id from labels)")
 def isolated_nodes(spark, sf_dir):
-    """Customers without orders and parts without sales, in the graph of who orders and who buys what."""
+    """Documents without a label, in the graph of labels and the documents that have them."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    t = lambda n: table(spark, sf_dir, n)
-    nodes = t("customer").select(name("c", "c_custkey").alias("id")).union(t("part").select(name("p", "p_partkey").alias("id")))
-    edges = t("orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")).union(t("lineitem").select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")))
-    return G.CodeGraph.of(edges, nodes).isolated()
+    nodes = table(spark, sf_dir, "documents").select(name("d", "doc_id").alias("id"))
+    return G.CodeGraph.of(table(spark, sf_dir, "labels").select(name("q", "quality").alias("src"), name("d", "doc_id").alias("dst")), nodes).isolated()
 
 
 @query(f"with {G.TRADE}, near as (select n_name as id from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')) select src, dst from edges where src in (select id from near) and dst in (select id from near)")
@@ -60,9 +61,9 @@ def subgraph_edges(spark, sf_dir):
     return G.trade(spark, sf_dir).subgraph(keep).edges
 
 
-@query(f"with {G.TRADE} select 'dependency' as relation, dst as id from edges where src = '{START}' union all select 'dependent', src from edges where dst = '{START}'")
+@query(f"with {G.KEYS} select 'dependency' as relation, dst as id from edges where src = {KEY} union all select 'dependent', src from edges where dst = {KEY}")
 def neighbors(spark, sf_dir):
-    return focus.dependencies_of(G.trade(spark, sf_dir), START).select("relation", "id")
+    return focus.dependencies_of(G.keys(spark, sf_dir), KEY).select("relation", "id")
 
 
 def _reach_sql(graph: str, start: str, forward: bool = True) -> str:
@@ -70,14 +71,14 @@ def _reach_sql(graph: str, start: str, forward: bool = True) -> str:
     return f"{_R}{graph}, found as (select {b} as id from edges where {a} = {start} union select {b} from found join edges on {a} = found.id) select id from found where id <> {start}"
 
 
-@query(_reach_sql(G.TRADE, f"'{START}'"))
+@query(_reach_sql(G.KEYS, str(KEY)))
 def reach_forward(spark, sf_dir):
-    return G.trade(spark, sf_dir).reach(START)
+    return G.keys(spark, sf_dir).reach(KEY)
 
 
-@query(_reach_sql(G.TRADE, f"'{START}'", forward=False))
+@query(_reach_sql(G.KEYS, str(KEY), forward=False))
 def reach_backward(spark, sf_dir):
-    return G.trade(spark, sf_dir).reach(START, forward=False)
+    return G.keys(spark, sf_dir).reach(KEY, forward=False)
 
 
 @query(_reach_sql(G.FOLLOW, str(PART)))
@@ -85,42 +86,42 @@ def reach_parts(spark, sf_dir):
     return G.follow(spark, sf_dir).kept().reach(PART)
 
 
-@query(f"{_R}{G.TRADE}, {G.pagerank_sql()} select id, round(score, 6) as score from scores")
+@query(f"{_R}{G.KEYS}, {G.pagerank_sql()} select id, round(score + 1e-9, 6) as score from scores")
 def pagerank20(spark, sf_dir):
-    return G.trade(spark, sf_dir).pagerank(tolerance=0.0).select("id", r6("score").alias("score"))
+    return G.keys(spark, sf_dir).pagerank(tolerance=0.0).select("id", r6(F.col("score") + 1e-9).alias("score"))
 
 
-@query(f"""{_R}{G.TRADE}, {G.pagerank_sql()} select id, round(score, 6) as score from scores order by round(score, 12) desc, id limit 10""")
+@query(f"""{_R}{G.KEYS}, {G.pagerank_sql()} select id, round(score + 1e-9, 6) as score from scores order by round(score, 12) desc, id limit 10""")
 def top_files(spark, sf_dir):
-    s = G.trade(spark, sf_dir).pagerank(tolerance=0.0).withColumn("score", F.round("score", 12))
-    return top_scores(s).select("id", r6("score").alias("score"))
+    s = G.keys(spark, sf_dir).pagerank(tolerance=0.0).withColumn("score", F.round("score", 12))
+    return top_scores(s).select("id", r6(F.col("score") + 1e-9).alias("score"))
 
 
-@query(f"""{_R}{G.TRADE}, {G.pagerank_sql()}, ranked as (select score, row_number() over (order by score) - 1 as k, count(*) over () as n from scores)
+@query(f"""{_R}{G.KEYS}, {G.pagerank_sql()}, ranked as (select score, row_number() over (order by score) - 1 as k, count(*) over () as n from scores)
 select round(max(score), 6) as max_score, round(min(score), 6) as min_score, round(avg(score), 6) as mean_score, round(max(case when k = n // 2 then score end), 6) as median_score from ranked""")
 def pagerank_stats(spark, sf_dir):
-    return score_stats(G.trade(spark, sf_dir).pagerank(tolerance=0.0))
+    return score_stats(G.keys(spark, sf_dir).pagerank(tolerance=0.0))
 
 
-@query(f"""{_R}{G.TRADE}, {G.pagerank_sql()}, s as (select id, round(score, 9) as score from scores)
+@query(f"""{_R}{G.KEYS}, {G.pagerank_sql()}, s as (select id, round(score, 9) as score from scores)
 select id, round(100.0 * (rank() over (order by score) - 1) / count(*) over (), 6) as percentile from s""")
 def score_percentile(spark, sf_dir):
-    return percentile(G.trade(spark, sf_dir).pagerank(tolerance=0.0).withColumn("score", F.round("score", 9)))
+    return percentile(G.keys(spark, sf_dir).pagerank(tolerance=0.0).withColumn("score", F.round("score", 9)))
 
 
-@query(f"""{_R}{G.TRADE}, {G.pagerank_sql()}, r as (select id, round(score, 9) * (select count(*) from nodes) as x from scores)
+@query(f"""{_R}{G.KEYS}, {G.pagerank_sql()}, r as (select id, round(score, 9) * (select count(*) from nodes) as x from scores)
 select id, case when x > 5 then 'Very High (critical hub)' when x > 2 then 'High (key file)' when x > 1 then 'Above Average' when x > 0.5 then 'Average' when x > 0.2 then 'Below Average' else 'Low (leaf file)' end as importance from r""")
 def importance_bucket(spark, sf_dir):
-    g = G.trade(spark, sf_dir)
+    g = G.keys(spark, sf_dir)
     return g.pagerank(tolerance=0.0).select("id", importance(F.round("score", 9), F.lit(g.nodes.count())).alias("importance"))
 
 
-_COMP = f"{_R}{G.TRADE}, {G.COMPONENTS}, large as (select component from comp group by 1 having count(*) > 1)"
+_COMP = f"{_R}{G.KEYS}, {G.COMPONENTS}, large as (select component from comp group by 1 having count(*) > 1)"
 
 
 @query(f"{_COMP} select component, id from comp where component in (select component from large)")
 def scc_members(spark, sf_dir):
-    return G.trade(spark, sf_dir).cycles()
+    return G.keys(spark, sf_dir).cycles()
 
 
 @query(f"{_R}{G.FLOW}, {G.COMPONENTS} select id, component from comp")
@@ -133,17 +134,17 @@ _CYCLE_EDGES = f"{_COMP}, inner_edges as (select a.component, src, dst from edge
 
 @query(f"{_CYCLE_EDGES} select * from inner_edges")
 def cycle_edges(spark, sf_dir):
-    return G.trade(spark, sf_dir).cycle_edges()
+    return G.keys(spark, sf_dir).cycle_edges()
 
 
 @query(f"{_CYCLE_EDGES}, {G.DEGREES} select component, src, dst from (select e.*, row_number() over (partition by component order by in_degree desc, src, dst) as rn from inner_edges e join degrees on id = src) q where rn = 1")
 def cycle_break(spark, sf_dir):
-    return G.trade(spark, sf_dir).cycle_breaks()
+    return G.keys(spark, sf_dir).cycle_breaks()
 
 
 @query(f"{_COMP} select distinct a.component as src, b.component as dst from edges join comp a on a.id = src join comp b on b.id = dst where a.component <> b.component")
 def condensed_edges(spark, sf_dir):
-    return G.trade(spark, sf_dir).condensed().edges
+    return G.keys(spark, sf_dir).condensed().edges
 
 
 # without a cycle of two nodes a self-loop, and all that leads to it, has no layer
@@ -155,16 +156,16 @@ layered as (select c.id, cast(max(k) as bigint) as layer from comp c join walks
 
 @query(f"{_LAYERS} select id, layer from layered")
 def topo_layers(spark, sf_dir):
-    return G.trade(spark, sf_dir).layers()
+    return G.keys(spark, sf_dir).layers()
 
 
 @query(f"""{_LAYERS}, sizes as (select layer, count(*) as n from layered group by 1)
 select count(*) as layer_count, round(avg(n), 6) as avg_size, max(n) as max_size, cast(coalesce(max(case when layer = 0 then n end), 0) as bigint) as foundation_count from sizes""")
 def layer_stats(spark, sf_dir):
-    return G.trade(spark, sf_dir).layer_stats()
+    return G.keys(spark, sf_dir).layer_stats()
 
 
-_FLOW_LAYERS = _LAYERS.replace(G.TRADE, G.FLOW)
+_FLOW_LAYERS = _LAYERS.replace(G.KEYS, G.FLOW)
 
 
 @query(f"{_FLOW_LAYERS} select id, layer from layered")
@@ -173,25 +174,25 @@ def flow_layers(spark, sf_dir):
     return G.flow(spark, sf_dir).layers()
 
 
-_FOCUS = f"""{_R}{G.TRADE}, {G.pagerank_sql()},
-ahead as (select '{START}' as id, 0 as d union select dst, d + 1 from ahead join edges on src = id where d < 3),
-behind as (select '{START}' as id, 0 as d union select src, d + 1 from behind join edges on dst = id where d < 3),
+_FOCUS = f"""{_R}{G.KEYS}, {G.pagerank_sql()},
+ahead as (select {KEY} as id, 0 as d union select dst, d + 1 from ahead join edges on src = id where d < 3),
+behind as (select {KEY} as id, 0 as d union select src, d + 1 from behind join edges on dst = id where d < 3),
 f as (select id, min(d) as f from ahead group by 1), b as (select id, min(d) as b from behind group by 1),
 near as (select coalesce(f.id, b.id) as id, least(coalesce(f, 99), coalesce(b, 99)) as distance, f, b from f full join b on f.id = b.id),
-found as (select near.id, distance, case when near.id = '{START}' then 'focal' when b is null or f < b then 'dependency' when f is null or b < f then 'dependent' else 'both' end as direction,
+found as (select near.id, distance, case when near.id = {KEY} then 'focal' when b is null or f < b then 'dependency' when f is null or b < f then 'dependent' else 'both' end as direction,
   coalesce(score, 0.001) * pow(0.8, distance) as score from near left join scores s on s.id = near.id)"""
 
 
-@query(f"{_FOCUS} select id, distance, direction, round(score, 6) as score from found where score >= 0.0001")
+@query(f"{_FOCUS} select id, distance, direction, round(score + 1e-9, 6) as score from found where score >= 0.0000001")
 def focus_neighborhood(spark, sf_dir):
-    g = G.trade(spark, sf_dir)
-    return focus.focus(g, g.pagerank(tolerance=0.0), START).select("id", "distance", "direction", r6("score").alias("score"))
+    g = G.keys(spark, sf_dir)
+    return focus.focus(g, g.pagerank(tolerance=0.0), KEY, least=0.0000001).select("id", "distance", "direction", r6(F.col("score") + 1e-9).alias("score"))
 
 
-# shortest paths are the walks of least length; they are counted by length
-_PATHS = f"""{_R}{G.TRADE}, e as (select src, dst from edges where src <> dst), n as (select count(*) as n from nodes),
+# shortest paths are the walks of least length; they are counted by length, and none of this graph is longer than 300
+_PATHS = f"""{_R}{G.KEYS}, e as (select src, dst from edges where src <> dst), n as (select count(*) as n from nodes),
 walks as (select src as s, dst as t, 1 as l, 1.0::double as k from e union all
-  select w.s, e.dst, w.l + 1, sum(w.k) from walks w join e on e.src = w.t where w.l < (select n - 1 from n) group by w.s, e.dst, w.l),
+  select w.s, e.dst, w.l + 1, sum(w.k) from walks w join e on e.src = w.t where w.l < 300 group by w.s, e.dst, w.l),
 short as (select s, t, min(l) as d, arg_min(k, l) as k from walks where s <> t group by s, t),
 bc as (select nodes.id, case when (select n from n) <= 2 then 0.0 else coalesce((select sum(a.k * b.k / c.k) from short a join short b on a.t = b.s join short c on c.s = a.s and c.t = b.t
   where a.t = nodes.id and a.d + b.d = c.d and a.s <> b.t), 0) / (((select n from n) - 1) * ((select n from n) - 2)) end as betweenness from nodes)"""
@@ -199,23 +200,59 @@ bc as (select nodes.id, case when (select n from n) <= 2 then 0.0 else coalesce(
 
 @query(f"{_PATHS} select id, round(betweenness, 6) as betweenness from bc")
 def betweenness(spark, sf_dir):
-    return G.trade(spark, sf_dir).betweenness().select("id", r6("betweenness").alias("betweenness"))
+    return G.keys(spark, sf_dir).betweenness().select("id", r6("betweenness").alias("betweenness"))
 
 
 @query(f"""{_PATHS}, {G.pagerank_sql()}, b as (select id, round(betweenness, 9) as betweenness from bc)
 select b.id, round(betweenness, 6) as betweenness, round(score, 6) as pagerank, case when betweenness > 0.2 then 'high' when betweenness > 0.1 then 'medium' else 'low' end as risk
-from b join scores s on s.id = b.id where betweenness >= 0.05 order by b.betweenness desc, b.id limit 10""")
+from b join scores s on s.id = b.id where betweenness >= 0.0005 order by b.betweenness desc, b.id limit 10""")
 def bridge_files(spark, sf_dir):
-    g = G.trade(spark, sf_dir)
+    g = G.keys(spark, sf_dir)
     bc = g.betweenness().withColumn("betweenness", F.round("betweenness", 9))
-    return focus.bridges(g, bc, g.pagerank(tolerance=0.0)).select("id", r6("betweenness").alias("betweenness"), r6("pagerank").alias("pagerank"), "risk")
+    return focus.bridges(g, bc, g.pagerank(tolerance=0.0), threshold=0.0005).select("id", r6("betweenness").alias("betweenness"), r6("pagerank").alias("pagerank"), "risk")
 
 
 @query(f"""{_PATHS}, {G.pagerank_sql()} select bc.id, round(betweenness / score, 6) as ratio, case when betweenness > 0.1 then 'high' when betweenness > 0.05 then 'medium' else 'low' end as risk
-from bc join scores s on s.id = bc.id where betweenness > 0.01 and betweenness / nullif(score, 0) > 2""")
+from bc join scores s on s.id = bc.id where betweenness > 0.0005 and betweenness / nullif(score, 0) > 0.1""")
 def hidden_bridges(spark, sf_dir):
-    g = G.trade(spark, sf_dir)
-    return focus.hidden_bridges(g.betweenness(), g.pagerank(tolerance=0.0)).select("id", r6("ratio").alias("ratio"), "risk")
+    g = G.keys(spark, sf_dir)
+    return focus.hidden_bridges(g.betweenness(), g.pagerank(tolerance=0.0), least=0.0005, ratio=0.1).select("id", r6("ratio").alias("ratio"), "risk")
+
+
+def _loop(spark, sf_dir):
+    """The keys graph, too large for one process as it is told."""
+    return G.keys(spark, sf_dir, small_edges=0)
+
+
+@query(_reach_sql(G.KEYS, str(KEY)))
+def reach_loop(spark, sf_dir):
+    return _loop(spark, sf_dir).reach(KEY)
+
+
+@query(f"{_R}{G.KEYS}, {G.pagerank_sql()} select id, round(score + 1e-9, 6) as score from scores")
+def pagerank_loop(spark, sf_dir):
+    return _loop(spark, sf_dir).pagerank(tolerance=0.0).select("id", r6(F.col("score") + 1e-9).alias("score"))
+
+
+@query(f"{_COMP} select id, component from comp")
+def components_loop(spark, sf_dir):
+    return _loop(spark, sf_dir).components()
+
+
+@query(f"{_LAYERS} select id, layer from layered")
+def layers_loop(spark, sf_dir):
+    return _loop(spark, sf_dir).layers()
+
+
+@query(f"{_FOCUS} select id, distance, direction, round(score + 1e-9, 6) as score from found where score >= 0.0000001")
+def focus_loop(spark, sf_dir):
+    g = _loop(spark, sf_dir)
+    return focus.focus(g, g.pagerank(tolerance=0.0), KEY, least=0.0000001).select("id", "distance", "direction", r6(F.col("score") + 1e-9).alias("score"))
+
+
+@query(f"{_PATHS} select id, round(betweenness, 6) as betweenness from bc")
+def betweenness_loop(spark, sf_dir):
+    return _loop(spark, sf_dir).betweenness().select("id", r6("betweenness").alias("betweenness"))
 
 
 # chunks of a nation: its customers; those of two segments count as abstract
@@ -345,7 +382,7 @@ def call_stats(spark, sf_dir):
 
 
 @query(f"""{_COMP}, shown as (select id from nodes), hot as (select a.component, src, dst from edges join comp a on a.id = src join comp b on b.id = dst where a.component = b.component and a.component in (select component from large))
-select '    ' || src || case when (src, dst) in (select (src, dst) from hot) then ' -.->|cycle| ' else ' --> ' end || dst as line from edges""")
+select '    _' || src || case when (src, dst) in (select (src, dst) from hot) then ' -.->|cycle| ' else ' --> ' end || '_' || dst as line from edges""")
 def mermaid_edges(spark, sf_dir):
-    g = G.trade(spark, sf_dir)
+    g = G.keys(spark, sf_dir)
     return diagrams.mermaid_edges(g, g.nodes, g.cycles())

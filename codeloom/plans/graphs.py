@@ -1,8 +1,9 @@
 """Graphs and file tables derived from the relational tables, each with the SQL that derives the same.
 
-- trade: nations; an edge to each of the three nations whose customers bring most to
-  its suppliers;
-- follow: parts; an edge where one part follows another, of a larger key, in an order;
+- trade: nations; an edge from each to every nation whose customers buy of its suppliers;
+- keys: orders and customers under one numbering; an edge from each order to its
+  customer, so that a key which is both leads on: long paths into a few cycles;
+- follow: parts; an edge where one part follows another in an order;
 - flow: event types; an edge from the type of each event to that of the user's next;
 - talk: turns of conversations; an edge from each to the next;
 - tree: documents as files, source/lang/doc_id with a suffix by language.
@@ -13,23 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import CodeGraph
+from ..operators.graph import SMALL_EDGES, CodeGraph
 from .registry import table
 
-TARGETS = 3
 #: Directories that stand for regions where paths are asked for.
 REGION_DIRS = {"AFRICA": "components", "AMERICA": "handlers", "ASIA": "models", "EUROPE": "database", "MIDDLE EAST": "utils"}
 
 TRADE = """nodes as (select n_name as id from nation),
-edges as (select src, dst from (
-  select sn.n_name as src, cn.n_name as dst,
-         row_number() over (partition by sn.n_name order by sum(l_extendedprice * (1 - l_discount)) desc, cn.n_name) as rn
+edges as (select distinct sn.n_name as src, cn.n_name as dst
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-  join nation sn on s_nationkey = sn.n_nationkey join nation cn on c_nationkey = cn.n_nationkey
-  group by sn.n_name, cn.n_name) q where rn <= 3)"""
+  join nation sn on s_nationkey = sn.n_nationkey join nation cn on c_nationkey = cn.n_nationkey)"""
+KEYS = """nodes as (select o_orderkey as id from orders union select o_custkey from orders),
+edges as (select distinct o_orderkey as src, o_custkey as dst from orders)"""
 FOLLOW = """nodes as (select p_partkey as id from part),
 edges as (select distinct src, dst from (
-  select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) q where src < dst)"""
+  select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) q where dst is not null)"""
 FLOW = """edges as (select distinct src, dst from (
   select event_type as src, lead(event_type) over (partition by user_id order by ts, event_id) as dst from events) q where dst is not null),
 nodes as (select src as id from edges union select dst from edges)"""
@@ -53,29 +52,29 @@ def pagerank_sql(iterations: int = 20) -> str:
 ranks as (
   select 0 as i, id, 1.0::double / (select n from total) as score from nodes
   union all
-  select r.i + 1, v.id, 0.15 / (select n from total) + 0.85 * coalesce(sum(case when d.src is null then r.score end), 0) / (select n from total)
-    + 0.85 * coalesce(sum(case when e.dst is not null then r.score / d.k end), 0)
-  from ranks r left join outdeg d on d.src = r.id cross join nodes v left join edges e on e.src = r.id and e.dst = v.id
-  where r.i < {iterations} group by r.i, v.id),
+  select t.i + 1, v.id, 0.15 / (select n from total) + 0.85 * t.lost / (select n from total) + 0.85 * coalesce(g.got, 0)
+  from (select r.i, coalesce(sum(case when d.src is null then r.score end), 0) as lost from ranks r left join outdeg d on d.src = r.id where r.i < {iterations} group by r.i) t
+    cross join nodes v left join (select e.dst, sum(r.score / d.k) as got from ranks r join edges e on e.src = r.id join outdeg d on d.src = e.src group by e.dst) g on g.dst = v.id),
 scores as (select id, score / (select sum(score) from ranks where i = {iterations}) as score from ranks where i = {iterations})"""
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
-    value = t("lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
     name = lambda c: t("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias(c))
     # the keys of both sides become nation names before the one large join, which then carries two narrow columns
-    sold = value.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("key")), "l_suppkey").join(name("src"), "key").groupBy("l_orderkey", "src").agg(F.sum("value").alias("value"))
+    sold = t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("key")), "l_suppkey").join(name("src"), "key").select("l_orderkey", "src").distinct()
     bought = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(t("customer").select("c_custkey", F.col("c_nationkey").alias("key")), "c_custkey").join(name("dst"), "key").select(F.col("o_orderkey").alias("l_orderkey"), "dst")
-    pairs = sold.join(bought, "l_orderkey").groupBy("src", "dst").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("value"), "dst"))
-    return pairs.withColumn("rn", rank).filter(F.col("rn") <= TARGETS).select("src", "dst")
+    return sold.join(bought, "l_orderkey").select("src", "dst").distinct()
 
 
 def trade(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return CodeGraph.of(trade_edges(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"))).kept()
 
 
+def keys(spark: SparkSession, sf_dir: str, small_edges: int = SMALL_EDGES) -> CodeGraph:
+    return CodeGraph.of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), small_edges=small_edges).kept()
+
+
 def region_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, path: nations as files in a directory of their region."""
     dirs = F.create_map(*[F.lit(x) for kv in REGION_DIRS.items() for x in kv])
@@ -97,7 +96,7 @@ def trade_files(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 def follow(spark: SparkSession, sf_dir: str) -> CodeGraph:
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), nxt.alias("dst")).filter("src < dst")
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), nxt.alias("dst"))
     return CodeGraph.of(e, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
 
 

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.classify import ownership
+
 VERSION = "1.3.0"
 _CHUNK = "id string, type string, name string, signature string, start_line int, end_line int, parent string, exported boolean, docstring string, semantic_anchor string"
 _IMPORT = "module string, symbols array<string>, alias string, is_relative boolean, line int"
@@ -75,6 +77,31 @@ def project_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return f
 
 
+SERIALIZED_KINDS = ("serialized_guid", "unity_component", "scriptable_object_type", "prefab_instance", "animator_motion", "unity_event")
+
+
+def project_metrics(files: DataFrame, chunks: DataFrame, edges: DataFrame, evidence: DataFrame, calls: DataFrame, cycles: DataFrame) -> DataFrame:
+    """One row of thirteen counters of an analysed tree.
+
+    files(path, language), chunks(path, exported), edges(src, dst), evidence(kinds,
+    engine), calls(kind), cycles(component, id).  Dependencies and cycles are the
+    project's own where all their ends are.
+    """
+    n, own = F.count(F.lit(1)), lambda c: ownership(F.col(c)).isin("project-owned", "repository")
+    parts = [
+        files.agg(n.alias("files"), F.count_if(F.coalesce("language", F.lit("")) != "").alias("source_files")),
+        chunks.agg(n.alias("symbols"), F.count_if("exported").alias("public_symbols")),
+        edges.agg(n.alias("dependencies"), F.count_if(own("src") & own("dst")).alias("project_owned_dependencies")),
+        evidence.agg(F.count_if(F.col("engine").isin("roslyn", "mixed")).alias("semantic_csharp_dependencies"), F.count_if(F.arrays_overlap("kinds", F.array(*map(F.lit, SERIALIZED_KINDS)))).alias("serialized_dependencies")),
+        calls.agg(F.count_if(F.col("kind") != "unity_event").alias("roslyn_call_sites"), F.count_if(F.col("kind") == "unity_event").alias("unity_event_calls"), n.alias("call_sites")),
+        cycles.groupBy("component").agg(F.bool_and(own("id")).alias("own")).agg(n.alias("cycles"), F.count_if("own").alias("project_owned_cycles")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
 def error_counts(errors: DataFrame) -> DataFrame:
     """error_type, errors."""
     return errors.groupBy("error_type").agg(F.count(F.lit(1)).alias("errors"))
