@@ -245,7 +245,7 @@ def test_the_command_line_from_scan_to_clean(spark, tree, capsys):
     assert code == 0 and "written: 4" in out
     with open(os.path.join(tree, "app", maps.NAME)) as f:
         text = f.read()
-    assert "[`util.py`](util.py)" in text and "app/deep" not in text.split("### Files")[1] and "**Responsibility:** The program." in text
+    assert "[`util.py`](util.py)" in text and "](more.py)" not in text and "**Responsibility:** The program." in text
     with open(os.path.join(tree, maps.NAME)) as f:
         assert freshness.footer_hash(f.read())
     assert "unchanged: 3" in do("agents")[1]  # the root's map tells the time
