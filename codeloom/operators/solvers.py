@@ -105,13 +105,14 @@ def betweenness(n: int, src: np.ndarray, dst: np.ndarray, sources: Iterable[int]
     first, to = adjacency(n, src, dst)
     total = np.zeros(n)
     sources = np.fromiter(sources, np.int64)
-    block = max(1, cells // max(1, n))
+    block = min(max(1, cells // max(1, n)), max(1, len(sources)))
+    dist = np.full(block * n, -1, np.int32)
+    paths, share = np.zeros(block * n), np.zeros(block * n)
     for at in range(0, len(sources), block):
-        root = np.arange(len(sources[at : at + block])) * n + sources[at : at + block]
-        dist = np.full(len(root) * n, -1, np.int32)
-        paths = np.zeros(len(root) * n)
+        own = sources[at : at + block]
+        root = np.arange(len(own)) * n + own
         dist[root], paths[root] = 0, 1.0
-        levels, front = [], root
+        levels, front, seen = [], root, [root]
         while len(front):
             node = front % n
             count = first[node + 1] - first[node]
@@ -124,10 +125,13 @@ def betweenness(n: int, src: np.ndarray, dst: np.ndarray, sources: Iterable[int]
             a, b = a[on], b[on]
             np.add.at(paths, b, paths[a])
             levels.append((a, b))
+            seen.append(new)
             front = new
-        share = np.zeros(len(root) * n)
         for a, b in reversed(levels):
             np.add.at(share, a, paths[a] / paths[b] * (1 + share[b]))
         share[root] = 0
-        total += share.reshape(len(root), n).sum(0)
+        # only the places that were reached are counted and cleared
+        touched = np.concatenate(seen)
+        np.add.at(total, touched % n, share[touched])
+        dist[touched], paths[touched], share[touched] = -1, 0, 0
     return total / max(1, (n - 1) * (n - 2))
