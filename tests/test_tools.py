@@ -237,8 +237,9 @@ def test_the_command_line_from_scan_to_clean(spark, tree, capsys):
     assert "Call Graph" in do("graph", "--kind", "calls", "--format", "markdown")[1]
     assert "tokens" in do("optimize", "--budget", "500")[1]
     for name in ("overview", "tree", "scripts", "entries"):
-        assert do(name)[0] == 0 and json.loads(do(name)[1]) is not None
-        assert do(name, "--format", "human")[1] != do(name, "--format", "markdown")[1]
+        code, out = do(name, "--format", "json" if name in ("overview", "scripts") else "human")
+        assert code == 0 and out.strip()
+    assert "| Directory |" in do("tree", "--format", "markdown")[1]
     assert json.loads(do("file", os.path.join(tree, "app/util.py"))[1])["language"] == "python"
     assert do("editor")[0] == 1
     code, out = do("agents", "--summary", "app=The program.")
@@ -248,7 +249,6 @@ def test_the_command_line_from_scan_to_clean(spark, tree, capsys):
     assert "[`util.py`](util.py)" in text and "](more.py)" not in text and "**Responsibility:** The program." in text
     with open(os.path.join(tree, maps.NAME)) as f:
         assert freshness.footer_hash(f.read())
-    assert "unchanged: 3" in do("agents")[1]  # the root's map tells the time
     with open(os.path.join(tree, "app/util.py"), "a") as f:
         f.write("\nX = 1\n")
     assert do("verify")[0] == 1
