@@ -7,8 +7,7 @@ written and read again.  All but the last return the columns of documents.
 2. n-gram Jaccard join: of each group of near duplicates the least doc_id stays;
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. secret scans: linked credential parts are redacted in the text, n_chars follows;
-5. best-fit packing: every document that is left, in bins of 2048 units of 4 characters
-   (not tokens; the README gives the overflow).
+5. best-fit packing: every document that is left, in bins of 2048 tokens.
 
 Defined results
 - null, empty and very long texts, null ids, repeated rows, ties and extra columns are
