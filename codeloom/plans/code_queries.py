@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calls, parse
-from .registry import query, table
+from .registry import query, spread, table
 
 # lines 1 and 2 import, 5 to 7 are a function, 10 and 11 a class
 _FILES = """files as (select 'seg/' || c_mktsegment || '/c' || c_custkey || '.py' as path, c_custkey as k, c_mktsegment as seg from customer)"""
@@ -22,7 +22,7 @@ def sources(spark, sf_dir):
     body = F.concat(
         F.lit("import os\nfrom seg."), "c_mktsegment", F.lit(" import c"), s(k), F.lit(", d as e\n\n\ndef f"), s(k), F.lit('(x):\n    """Doubles."""\n    y = f'), s(k % 10), F.lit("(x)\n    return y.m"), s(k % 7), F.lit("()\n\nclass _K"), s(k), F.lit(":\n    pass\n"),
     )
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("seg/"), "c_mktsegment", F.lit("/c"), s(k), F.lit(".py")).alias("path"), F.lit("python").alias("language"), body.alias("source"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select(F.concat(F.lit("seg/"), "c_mktsegment", F.lit("/c"), s(k), F.lit(".py")).alias("path"), F.lit("python").alias("language"), body.alias("source"))
 
 
 @query(f"with {_CHUNKS} select id, path, type, name, signature, start_line, end_line, exported, docstring from chunks")

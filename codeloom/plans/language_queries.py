@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import architecture, languages, parse, resolve
 from ..operators.graph import CodeGraph
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _sources(spark, sf_dir, name: str, key: str, folder: str, suffix: str, language: str, text: str):
     """One file for each row of a table: text with ~ for its key."""
     k = F.col(key).cast("string")
-    return table(spark, sf_dir, name).select(F.concat(F.lit(f"{folder}/{language[0]}"), k, F.lit(suffix)).alias("path"), F.lit(language).alias("language"), F.replace(F.lit(text), F.lit("~"), k).alias("source"))
+    return spread(table(spark, sf_dir, name).select(key)).select(F.concat(F.lit(f"{folder}/{language[0]}"), k, F.lit(suffix)).alias("path"), F.lit(language).alias("language"), F.replace(F.lit(text), F.lit("~"), k).alias("source"))
 
 
 def _rows(name: str, key: str, folder: str, suffix: str, language: str, values: str, columns: str) -> str:
