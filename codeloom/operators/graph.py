@@ -12,10 +12,13 @@ queries hold one against the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +28,8 @@ from ..lineage import cut
 from . import chains, solvers
 
 SMALL_EDGES = 1_000_000
+#: Rows of ids that are sent to all tasks.
+FEW = 100_000
 
 
 @dataclass
@@ -36,12 +41,13 @@ class CodeGraph:
     # construction
 
     @staticmethod
-    def of(edges: DataFrame, nodes: DataFrame | None = None, small_edges: int = SMALL_EDGES) -> CodeGraph:
-        """Nodes are those given and all ends of edges; parallel edges collapse."""
+    def of(edges: DataFrame, nodes: DataFrame | None = None, small_edges: int = SMALL_EDGES, keep: bool = False) -> CodeGraph:
+        """Nodes are those given and all ends of edges; parallel edges collapse.  With keep both tables are cut, and edges are made once."""
         e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+        e = cut(e) if keep else e
         ends = e.select(F.explode(F.array("src", "dst")).alias("id"))
         n = ends if nodes is None else nodes.select("id").filter("id is not null").union(ends)
-        return CodeGraph(n.distinct(), e, small_edges)
+        return CodeGraph(cut(n.distinct()) if keep else n.distinct(), e, small_edges)
 
     @property
     def spark(self) -> SparkSession:
@@ -95,7 +101,11 @@ class CodeGraph:
     # fixpoints
 
     def is_small(self) -> bool:
-        return all(t.limit(self.small_edges + 1).count() <= self.small_edges for t in (self.edges, self.nodes))
+        return max(self._sizes) <= self.small_edges
+
+    @cached_property
+    def _sizes(self) -> tuple[int, int]:
+        return self.nodes.count(), self.edges.count()
 
     def _arrays(self) -> tuple[list, np.ndarray, np.ndarray]:
         ids, e = self.nodes.toArrow()["id"], self.edges.toArrow()
@@ -124,32 +134,80 @@ class CodeGraph:
         if self.is_small():
             ids, s, d = self._arrays()
             return self._table(ids, {"score": solvers.pagerank(len(ids), s, d, damping, iterations, tolerance)}, "score double")
-        # nodes without edges in have one score among them, which each row carries as z; the rows are the other nodes
-        n = self.nodes.count()
+        return self._pagerank_loop(damping, iterations, tolerance)
+
+    def _pagerank_loop(self, damping: float, iterations: int, tolerance: float) -> DataFrame:
+        """Scores as weighted sums of the masses of walks.
+
+        A walk's mass is the product of 1 / edges out over its nodes but the last; the
+        mass j of a node sums those of all walks of j edges that end there, mass 0 is 1.
+        A round has rows only for the nodes that walks of its length end at, and all else
+        that scores depend on is one number a round.  Without a tolerance, what is left of
+        the graph is solved on the driver once it is small.
+        """
+        n = self._sizes[0]
+        if not n:
+            return self.nodes.select("id", F.lit(0.0).alias("score"))
         out = self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-        inner = cut(self.edges.select(F.col("dst").alias("id")).distinct())
-        edges = self.edges.join(out, "src").join(inner.select(F.col("id").alias("src"), F.lit(True).alias("inner")), "src", "left")
-        from_outer = edges.filter("inner is null").groupBy(F.col("dst").alias("id")).agg(F.sum(1 / F.col("out")).alias("from_outer"))
-        inner_edges = cut(edges.filter("inner").select("src", "dst", "out"))
-        nodes = inner.join(out.select(F.col("src").alias("id"), "out"), "id", "left").join(from_outer, "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.coalesce("from_outer", F.lit(0.0)).alias("from_outer"))
-        outer = cut(self.nodes.join(inner, "id", "left_anti"))
-        outers = outer.count()
-        if outers == n:
-            return self.nodes.select("id", F.lit(1.0 / n).alias("score"))
-        alone = outer.join(out.select(F.col("src").alias("id")), "id", "left_anti").count()
-        scores = cut(nodes.select("id", "dangling", "from_outer", F.lit(1.0 / n).alias("score"), F.lit(1.0 / n).alias("z")))
-        for _ in range(iterations):
-            got = inner_edges.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("out")).alias("got"))
-            lost = scores.agg((F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)) + alone * F.max("z")).alias("lost"))
-            step = scores.join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
-            base = (1 - damping) / n + damping * F.col("lost") / n
-            new = base + damping * (F.coalesce("got", F.lit(0.0)) + F.col("from_outer") * F.col("z"))
-            scores = cut(step.select("id", "dangling", "from_outer", new.alias("score"), base.alias("z"), F.abs(new - F.col("score")).alias("moved"), F.abs(base - F.col("z")).alias("z_moved")))
-            if tolerance > 0 and scores.agg(F.sum("moved") + outers * F.max("z_moved")).first()[0] < tolerance:
+        sources, wide = out.agg(F.count(F.lit(1)), F.count_if(F.col("out") > 1)).first()
+        # large graphs are spared the joins that would change nothing
+        edges = self.edges.join(out.filter("out > 1"), "src", "left").select("src", "dst", (1 / F.coalesce("out", F.lit(1))).alias("share")) if wide else self.edges.select("src", "dst", F.lit(1.0).alias("share"))
+        mass = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("mass"))
+        if sources < n:
+            mass = cut(mass.join(out.select(F.col("src").alias("id"), F.lit(False).alias("last")), "id", "left").fillna(True, ["last"]))
+            edges = edges.join(mass.filter("last").select(F.col("id").alias("dst"), "last"), "dst", "left").fillna(False, ["last"])
+        else:
+            mass, edges = cut(mass.withColumn("last", F.lit(False))), edges.withColumn("last", F.lit(False))
+        sums = lambda m: m.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in (F.col("mass"), F.when(F.col("last"), F.col("mass")))]).first()
+        # by round: the mass of all nodes, and that of those without edges out
+        total, lost = [float(n)], [float(n - sources)]
+        masses, known, rest = [], float("inf"), None
+        rows, *both = sums(mass)
+        while rows and len(masses) < iterations:
+            masses.append(mass)
+            total.append(both[0])
+            lost.append(both[1])
+            if len(masses) == iterations:
                 break
-        total, z = scores.agg(F.sum("score"), F.max("z")).first()
-        total += outers * z
-        return scores.select("id", (F.col("score") / total).alias("score")).union(outer.select("id", F.lit(z / total)))
+            if 2 * rows <= known:  # walks go on from nodes with mass only
+                edges, known = cut(edges.join(mass.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "share", "last")), rows
+                if tolerance <= 0 and max(rows, edges.count()) <= self.small_edges:
+                    rest = _walks(mass, edges)
+                    for m in rest[2](iterations - len(masses)):
+                        total.append(float(m.sum()))
+                        lost.append(float(m[rest[1]].sum()))
+                    break
+            step = edges.join(mass.select(F.col("id").alias("src"), "mass"), "src").groupBy(F.col("dst").alias("id"))
+            mass = cut(step.agg(F.sum(F.col("mass") * F.col("share")).alias("mass"), F.max("last").alias("last")))
+            rows, *both = sums(mass)
+        weights = solvers.walk_weights(n, lost, damping, iterations)
+        at = iterations
+        if tolerance > 0 and masses:
+            names = [f"m{k}" for k in range(1, len(masses) + 1)]
+            wide = None
+            for k, m in zip(names, masses, strict=True):
+                part = m.select("id", *[(F.col("mass") if c == k else F.lit(0.0)).alias(c) for c in names])
+                wide = part if wide is None else wide.union(part)
+            wide = wide.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+            steps = [np.subtract(b, a) for a, b in zip(weights, weights[1:])]
+            moved = wide.agg(F.count(F.lit(1)), *[F.sum(F.abs(sum((F.col(c) * float(w) for c, w in zip(names, d[1:], strict=False)), F.lit(float(d[0]))))) for d in steps]).first()
+            at = next((t for t, d in enumerate(steps, 1) if moved[t] + (n - moved[0]) * abs(d[0]) < tolerance), at)
+        w = [float(x) for x in weights[at][: len(total)]]
+        scale = sum(x * y for x, y in zip(w, total, strict=True))
+        parts = [m.select("id", (F.col("mass") * x).alias("more")) for m, x in zip(masses, w[1:])]
+        if rest:
+            ids, _, rounds = rest
+            later = w[len(masses) + 1 :]
+            more = sum((x * m for x, m in zip(later, rounds(len(later)), strict=True)), np.zeros(len(ids)))
+            schema = _parse_datatype_string(f"id {self.nodes.schema['id'].dataType.simpleString()}, more double")
+            parts.append(self.spark.createDataFrame(pa.table([ids.cast(to_arrow_schema(schema)[0].type), pa.array(more)], names=schema.names), schema))
+        if not parts:
+            return self.nodes.select("id", F.lit(1.0 / n).alias("score"))
+        more = parts[0]
+        for p in parts[1:]:
+            more = more.union(p)
+        more = cut(more.groupBy("id").agg(F.sum("more").alias("more")))
+        return self.nodes.join(more, "id", "left").select("id", ((F.coalesce("more", F.lit(0.0)) + w[0]) / scale).alias("score"))
 
     def reach(self, start: str, forward: bool = True) -> DataFrame:
         """Ids that paths from (or to) start lead to, without start; none for an unknown one."""
@@ -199,10 +257,10 @@ class CodeGraph:
     def distances(self, start: str, most: int, forward: bool = True) -> DataFrame:
         """id, distance of all nodes within ``most`` steps of start."""
         a, b = ("src", "dst") if forward else ("dst", "src")
-        front = self.nodes.filter(F.col("id") == start).select("id", F.lit(0).alias("distance"))
+        front = cut(self.nodes.filter(F.col("id") == start).select("id", F.lit(0).alias("distance")))
         found = front
         for k in range(1, most + 1):
-            front = self.edges.select(F.col(a).alias("id"), F.col(b).alias("to")).join(front.select("id"), "id").select(F.col("to").alias("id")).distinct().select("id", F.lit(k).alias("distance"))
+            front = self.edges.select(F.col(a).alias("id"), F.col(b).alias("to")).join(spread_small(front.select("id")), "id").select(F.col("to").alias("id")).distinct().select("id", F.lit(k).alias("distance"))
             front = cut(front)
             found = found.union(front)
         return found.groupBy("id").agg(F.min("distance").alias("distance"))
@@ -395,6 +453,28 @@ class CodeGraph:
         return self.nodes.join(total, "id", "left").select("id", (F.coalesce("share", F.lit(0.0)) / scale).alias("betweenness"))
 
 
+def spread_small(ids: DataFrame) -> DataFrame:
+    """Kept ids, to be sent to all tasks of a join where there are few, so that the other side needn't be shuffled."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
+def _walks(mass: DataFrame, edges: DataFrame) -> tuple[pa.Array, np.ndarray, Callable]:
+    """Ids; which have no edge out; a function that yields their masses of the next so many rounds."""
+    e, m = edges.toArrow(), mass.toArrow()
+    ids = pc.unique(pa.chunked_array([*e["src"].chunks, *e["dst"].chunks, *m["id"].chunks], m["id"].type))
+    place = lambda c: pc.index_in(c, value_set=ids).to_numpy()
+    s, d, share, first = place(e["src"]), place(e["dst"]), e["share"].to_numpy(), np.zeros(len(ids))
+    first[place(m["id"])] = m["mass"].to_numpy()
+
+    def rounds(k: int):
+        now = first
+        for _ in range(k):
+            now = np.bincount(d, weights=now[s] * share, minlength=len(ids))
+            yield now
+
+    return ids, np.bincount(s, minlength=len(ids)) == 0, rounds
+
+
 def top_scores(scores: DataFrame, k: int = 10, column: str = "score") -> DataFrame:
     return scores.orderBy(F.desc(column), "id").limit(k)
 
@@ -413,6 +493,11 @@ def _running(scores: DataFrame, c: Column) -> DataFrame:
     return by.withColumn("inside", inside).join(F.broadcast(before), "part").select("value", "n", (F.col("before") + F.col("inside")).alias("below"), "all")  # one row a partition
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A score of 1 at most, rounded to fewer than 15 places; what lies within 5e-16 of a half, as sums in another order do, counts as the half."""
+    return F.round(F.round(c, 15), places)
+
+
 def percentile(scores: DataFrame, column: Column | str = "score") -> DataFrame:
     """id, percentile: share in percent of scores strictly below each."""
     c = F.col(column) if isinstance(column, str) else column

@@ -28,6 +28,16 @@ def pagerank(n: int, src: np.ndarray, dst: np.ndarray, damping: float = 0.85, it
     return score / score.sum()
 
 
+def walk_weights(n: int, lost: list[float], damping: float, iterations: int) -> list[np.ndarray]:
+    """After each number of iterations, how much a score has of each mass of walks; lost: by round, the mass of nodes without edges out, none beyond."""
+    lost = np.r_[lost, np.zeros(max(0, iterations + 1 - len(lost)))][: iterations + 1]
+    weights = [np.r_[1.0 / n, np.zeros(iterations)]]
+    for _ in range(iterations):
+        now = weights[-1]
+        weights.append(np.r_[(1 - damping) / n + damping * float(now @ lost) / n, damping * now[:-1]])
+    return weights
+
+
 def distances(n: int, src: np.ndarray, dst: np.ndarray, start: int) -> np.ndarray:
     """Steps from start to each node, -1 where there is no path."""
     first, to = adjacency(n, src, dst)

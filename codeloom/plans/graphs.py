@@ -72,7 +72,7 @@ def trade(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 
 def keys(spark: SparkSession, sf_dir: str, small_edges: int = SMALL_EDGES) -> CodeGraph:
-    return CodeGraph.of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), small_edges=small_edges).kept()
+    return CodeGraph.of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), small_edges=small_edges, keep=True)
 
 
 def region_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

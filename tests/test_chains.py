@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from codeloom.operators import chains, graph as graphs, solvers
@@ -104,3 +105,22 @@ def test_deep_graphs_take_few_rounds(spark, cuts):
     _, g = both(spark, deep, 302)
     assert dict(rows(g.layers()))[0] == 200 and len(g.reach(0).collect()) == 300 and len(g.cycles().collect()) == 101
     assert len(cuts) < 150
+
+
+def test_pagerank_takes_rounds_as_walks_are_long(spark, cuts):
+    tree = [(k, k // 3) for k in range(1, 39)]
+    _, g = both(spark, tree, 40)
+    want = solvers.pagerank(40, *(np.array(x) for x in zip(*tree)), tolerance=0.0)
+    assert rows(g.pagerank(tolerance=0.0)) == [(k, round(x, 9)) for k, x in enumerate(want)]
+    assert len(cuts) < 20
+
+
+@pytest.mark.parametrize("seed,hubs", [(1, 0), (2, 2)])
+def test_pagerank_ends_on_the_driver(spark, cuts, monkeypatch, seed, hubs):
+    e = mixed(seed, hubs)
+    a, b = both(spark, e)
+    b.small_edges = 30
+    walks = []
+    plain = graphs._walks
+    monkeypatch.setattr(graphs, "_walks", lambda *x: walks.append(1) or plain(*x))
+    assert rows(a.pagerank(tolerance=0.0)) == rows(b.pagerank(tolerance=0.0)) and walks
