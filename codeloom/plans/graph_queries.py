@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import importance
 from ..operators import architecture, calls, coupling, evidence, focus
-from ..operators.graph import percentile, score_stats, top_scores
+from ..operators.graph import percentile, rounded, score_stats, top_scores
 from ..sinks import diagrams
 from . import graphs as G
 from .registry import query, table
@@ -106,14 +106,14 @@ def pagerank_stats(spark, sf_dir):
 @query(f"""{_R}{G.KEYS}, {G.pagerank_sql()}, s as (select id, round(score, 9) as score from scores)
 select id, round(100.0 * (rank() over (order by score) - 1) / count(*) over (), 6) as percentile from s""")
 def score_percentile(spark, sf_dir):
-    return percentile(G.keys(spark, sf_dir).pagerank(tolerance=0.0).withColumn("score", F.round("score", 9)))
+    return percentile(G.keys(spark, sf_dir).pagerank(tolerance=0.0).withColumn("score", rounded("score", 9)))
 
 
 @query(f"""{_R}{G.KEYS}, {G.pagerank_sql()}, r as (select id, round(score, 9) * (select count(*) from nodes) as x from scores)
 select id, case when x > 5 then 'Very High (critical hub)' when x > 2 then 'High (key file)' when x > 1 then 'Above Average' when x > 0.5 then 'Average' when x > 0.2 then 'Below Average' else 'Low (leaf file)' end as importance from r""")
 def importance_bucket(spark, sf_dir):
     g = G.keys(spark, sf_dir)
-    return g.pagerank(tolerance=0.0).select("id", importance(F.round("score", 9), F.lit(g.nodes.count())).alias("importance"))
+    return g.pagerank(tolerance=0.0).select("id", importance(rounded("score", 9), F.lit(g.nodes.count())).alias("importance"))
 
 
 _COMP = f"{_R}{G.KEYS}, {G.COMPONENTS}, large as (select component from comp group by 1 having count(*) > 1)"

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from codeloom.operators import architecture, coupling, focus
-from codeloom.operators.graph import CodeGraph, percentile, score_stats, top_scores
+from codeloom.operators.graph import CodeGraph, percentile, rounded, score_stats, top_scores
 from codeloom.sinks import diagrams
 
 SMALL, LOOP = 1_000_000, -1
@@ -73,6 +73,29 @@ def test_scores(spark):
     assert rows(score_stats(s)) == [(0.5, 0.1, 0.325, 0.5)]
 
 
+def test_percentiles_of_equal_scores_summed_in_other_orders(spark):
+    half = 1.725e-07
+    s = spark.createDataFrame([("a", half * (1 - 3e-16)), ("b", half), ("c", half * (1 + 3e-16)), ("d", 1e-7)], "id string, score double").filter("score > 0")
+    assert rows(percentile(s.withColumn("score", rounded("score", 9)))) == [("a", 25.0), ("b", 25.0), ("c", 25.0), ("d", 0.0)]
+
+
+def test_small_neighbourhoods_shuffle_no_edges(spark):
+    g = graph(spark, [("a", "b"), ("b", "c"), ("d", "a")], small=LOOP)
+    joined = []
+    from codeloom.operators import graph as graphs
+
+    plain = graphs.spread_small
+    try:
+        graphs.spread_small = lambda ids: joined.append(plain(ids)) or joined[-1]
+        assert rows(g.distances("a", 2)) == [("a", 0), ("b", 1), ("c", 2)]
+    finally:
+        graphs.spread_small = plain
+    plan = g.edges.join(joined[0].withColumnRenamed("id", "src"), "src")._jdf.queryExecution().simpleString()
+    assert len(joined) == 2 and "BroadcastHashJoin" in plan
+    scores = g.nodes.selectExpr("id", "0.1D as score")
+    assert {r.id for r in focus.focus(g, scores, "a").collect()} == {"a", "b", "c", "d"}
+
+
 def test_focus(spark):
     g = graph(spark, [("a", "b"), ("b", "c"), ("d", "a"), ("c", "e"), ("e", "f"), ("f", "tests/test_a.py"), ("a", "g"), ("g", "a")])
     s = g.nodes.selectExpr("id", "0.1D as score")
