@@ -29,7 +29,7 @@ def shown_nodes(graph: CodeGraph, scores: DataFrame | None, most: int) -> DataFr
 
 def _marked_edges(graph: CodeGraph, shown: DataFrame, cycles: DataFrame | None) -> DataFrame:
     """src, dst, in_cycle of the edges among shown(id); cycles(component, id)."""
-    e = graph.subgraph(shown).edges
+    e = graph.edges if shown is graph.nodes else graph.subgraph(shown).edges
     if cycles is None:
         return e.withColumn("in_cycle", F.lit(False))
     a, b = (cycles.select(F.col("id").alias(c), F.col("component").alias(k)) for c, k in (("src", "ca"), ("dst", "cb")))

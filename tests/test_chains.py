@@ -7,6 +7,7 @@ import pytest
 
 from codeloom.operators import chains, graph as graphs, solvers
 from codeloom.operators.graph import CodeGraph
+from codeloom.sinks import diagrams
 
 MIXES = [(1, 0), (2, 2)]
 
@@ -124,3 +125,21 @@ def test_pagerank_ends_on_the_driver(spark, cuts, monkeypatch, seed, hubs):
     plain = graphs._walks
     monkeypatch.setattr(graphs, "_walks", lambda *x: walks.append(1) or plain(*x))
     assert rows(a.pagerank(tolerance=0.0)) == rows(b.pagerank(tolerance=0.0)) and walks
+
+
+@pytest.mark.parametrize("seed,hubs", MIXES)
+def test_cycles_keep_no_rows_of_other_nodes(spark, monkeypatch, seed, hubs):
+    a, b = both(spark, mixed(seed, hubs))
+    assert rows(a.cycles()) == rows(b.cycles()) and rows(a.cycle_breaks()) == rows(b.cycle_breaks())
+    on = {r.id for r in b.cycles().collect()}
+    assert {r.id for r in b._components_loop(whole=False).collect() if r.id != r.component} <= on
+    plain = CodeGraph._components_loop
+    monkeypatch.setattr(CodeGraph, "_components_loop", lambda g, whole=True: pytest.fail("whole") if whole else plain(g, whole))
+    assert rows(b.cycle_edges()) == rows(a.cycle_edges())
+
+
+def test_all_edges_are_shown_without_a_join(spark):
+    _, g = both(spark, [(0, 1), (1, 0), (2, 0)], 3)
+    marked = diagrams._marked_edges(g, g.nodes, None)
+    assert "Join" not in marked._jdf.queryExecution().toString()
+    assert rows(diagrams.mermaid_edges(g, g.nodes, g.cycles())) == [("    _0 -.->|cycle| _1",), ("    _1 -.->|cycle| _0",), ("    _2 --> _0",)]
