@@ -1,7 +1,10 @@
 import random
+from bisect import bisect_left
+from collections import Counter
 
 import pytest
 
+from codeloom.catalog import QUERIES
 from codeloom.operators import architecture, coupling, focus
 from codeloom.operators.graph import CodeGraph, percentile, rounded, score_stats, top_scores
 from codeloom.sinks import diagrams
@@ -79,6 +82,30 @@ def test_percentiles_of_equal_scores_summed_in_other_orders(spark):
     assert rows(percentile(s.withColumn("score", rounded("score", 9)))) == [("a", 25.0), ("b", 25.0), ("c", 25.0), ("d", 0.0)]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_percentiles_equal_those_of_exact_scores(spark, monkeypatch, small):
+    """All keys are orders with one customer each, so a score is a sum of counts of walks, here in integers."""
+    monkeypatch.setattr(CodeGraph, "is_small", lambda g: small)
+    sf = "/root/testdata/sf0.1"
+    to = dict(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").toPandas().itertuples(index=False))
+    assert set(to.values()) <= set(to)
+    walks, score = dict.fromkeys(to, 1), Counter()
+    for j in range(21):
+        weight = 3 * 17**j * 20 ** (20 - j) if j < 20 else 20 * 17**20
+        score.update({k: weight * m for k, m in walks.items()})
+        ends = Counter()
+        for k, m in walks.items():
+            ends[to[k]] += m
+        walks = ends
+    whole = len(to) * 20**21
+    assert sum(score.values()) == whole
+    halves = {k: divmod(2 * 10**9 * x, whole) for k, x in score.items()}
+    assert sum(h % 2 == 1 and not rest for h, rest in halves.values()) > 1000
+    places = sorted((h + 1) // 2 for h, _ in halves.values())
+    want = {k: round(100 * bisect_left(places, (h + 1) // 2) / len(to), 6) for k, (h, _) in halves.items()}
+    assert dict(QUERIES["score_percentile"](spark, sf).toPandas()[["id", "percentile"]].itertuples(index=False)) == want
+
+
 def test_small_neighbourhoods_shuffle_no_edges(spark):
     g = graph(spark, [("a", "b"), ("b", "c"), ("d", "a")], small=LOOP)
     joined = []
